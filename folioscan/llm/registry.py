@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import exact_dedup
+from folioscan.llm import exact_dedup, packing
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
+    "op7_packing": packing.query,
 }
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
