@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import exact_dedup, packing
+from folioscan.llm import exact_dedup, packing, toxicity
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
+    "op9_toxicity": toxicity.query,
 }
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
