@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import exact_dedup, packing, toxicity
+from folioscan.llm import chat, exact_dedup, packing, toxicity, warc
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
+    "op8_chat": chat.query,
     "op9_toxicity": toxicity.query,
+    "op10_warc": warc.query,
+}
+SQL = {
+    "op8_chat": chat.SQL,
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op10_warc": warc.SQL,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL}

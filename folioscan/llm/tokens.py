@@ -57,6 +57,12 @@ class ByteBPE:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids that `encode` gave for whole strings."""
+        if self.fast is not None:
+            return self.fast.decode_bytes(ids.tolist()).decode("utf-8", "replace")
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
 
 _LOADED: dict[str, ByteBPE] = {}
 
