@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import chat, exact_dedup, packing, toxicity, warc
+from folioscan.llm import chat, exact_dedup, packing, sentencepiece_ops, toxicity, warc
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_ops.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_packing": packing.query,
     "op8_chat": chat.query,
