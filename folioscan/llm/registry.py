@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import chat, exact_dedup, packing, sentencepiece_ops, toxicity, warc
+from folioscan.llm import chat, exact_dedup, packing, sentencepiece_ops, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_ops.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_simhash": simhash.query,
     "op7_packing": packing.query,
     "op8_chat": chat.query,
     "op9_toxicity": toxicity.query,
