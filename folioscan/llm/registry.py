@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import chat, exact_dedup, packing, sentencepiece_ops, simhash, toxicity, warc
+from folioscan.llm import chat, embedding_dedup, exact_dedup, packing, sentencepiece_ops, simhash, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_ops.query,
+    "op2_embedding_dedup": embedding_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_simhash": simhash.query,
     "op7_packing": packing.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 SQL = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op8_chat": chat.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_warc": warc.SQL,
