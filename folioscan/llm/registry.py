@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from folioscan.llm import chat, embedding_dedup, exact_dedup, licenses, packing, sentencepiece_ops, simhash, toxicity, warc
+from folioscan.llm import chat, embedding_dedup, exact_dedup, licenses, packing, sentencepiece_ops, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_ops.query,
     "op2_embedding_dedup": embedding_dedup.query,
     "op3_licenses": licenses.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_simhash": simhash.query,
     "op7_packing": packing.query,
