@@ -130,6 +130,21 @@ def _tiles(a0, a1, b0, b1, large: int = 4096, most: int = 200_000):
         at = to
 
 
+def _near(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of centres whose chord may be at most `most` and both radii, in single precision with room for its error.
+
+    Most nodes of scattered data hold one row, so their bound is one number; rows and columns with a radius get their own.
+    """
+    dots = a.astype(np.float32) @ b.astype(np.float32).T
+    limit = lambda r: (1 - (most + SLACK + r) ** 2 / 2 - 1e-5).astype(np.float32)
+    keep = dots >= limit(np.float64(1e-6))
+    wide = np.flatnonzero(ra > 5e-7)
+    keep[wide] = dots[wide] >= limit(ra[wide, None] + rb[None, :])
+    wide = np.flatnonzero(rb > 5e-7)
+    keep[:, wide] = dots[:, wide] >= limit(ra[:, None] + rb[None, wide])
+    return np.nonzero(keep)
+
+
 def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links of each row of a and of b (in tree order) to the other block, and linked places (a's row, b's row) that span all of them."""
     most = float(np.sqrt(2 - 2 * threshold))
@@ -142,12 +157,11 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
         for box, pair in _tiles(a0, a1, b0, b1):
             if box:
                 x, y = slice(*box[:2]), slice(*box[2:])
-                d = _chord(a.centre(level, x), b.centre(level, y))
-                p, q = np.nonzero(d <= most + SLACK + a.radius[level][x][:, None] + b.radius[level][y][None, :])
-                d, p, q = d[p, q], p + box[0], q + box[2]
+                p, q = _near(a.centre(level, x), b.centre(level, y), a.radius[level][x], b.radius[level][y], most)
+                p, q = p + box[0], q + box[2]
             else:
                 p, q = pair
-                d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.centre(level, p), b.centre(level, q))))
+            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.centre(level, p), b.centre(level, q))))
             bound = a.radius[level][p] + b.radius[level][q]
             keep = d <= most + bound + SLACK
             if same:  # each pair of nodes once
@@ -198,7 +212,7 @@ def _pack(tree: CoverTree, raw: np.ndarray, ids: np.ndarray) -> bytes:
     flat = {f"{name}{k}": x if name == "radius" else x.astype(np.int32) for name in _PARTS for k, x in enumerate(getattr(tree, name))}
     single = raw.astype(np.float32)
     raw = single if (single == raw).all() else raw
-    np.savez_compressed(out, rows=raw[tree.order], ids=ids[tree.order], levels=len(tree.kids), **flat)
+    np.savez(out, rows=raw[tree.order], ids=ids[tree.order], levels=len(tree.kids), **flat)
     return out.getvalue()
 
 
