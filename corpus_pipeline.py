@@ -1,4 +1,48 @@
-"""The training-data pipeline: toxicity, exact dedup, SimHash near-dedup, suffix-array dedup, packing."""
+"""The training-data pipeline: toxicity, exact dedup, SimHash near-dedup, suffix-array dedup, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
+columns of `documents`; the last returns the pieces of the packed sequences with their token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folioscan.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
+from folioscan.llm.common import load, written
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.stage(spark, docs, sf_dir)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [("toxicity", toxicity_filter), ("exact dedup", exact), ("simhash near-dedup", near), ("suffix-array dedup", substrings), ("packing", packed)]
+
+#: SQL has no XXH64, no trained classifier and no tokenizer, so the tests hold run() against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written before the next one reads it."""
+    docs = load(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

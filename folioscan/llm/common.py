@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as compressed Parquet in the shared checkpoint folder, for tables too large to checkpoint plainly."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        checkpoint(df.sparkSession.range(1))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def may_have(members: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A condition on a column of longs: false only for values that are not members. Broadcasts a bit set of bounded size."""
+    bloom = members.sparkSession.sparkContext.broadcast(bloom_of(members, column))
+
+    @F.pandas_udf("boolean")
+    def test(x: pd.Series) -> pd.Series:
+        return pd.Series(bloom.value.test(x.to_numpy().view(np.uint64)))
+
+    return test
+
+
 def text_of(column: str) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -9,12 +9,11 @@ are shuffled, and grouping by the text itself compares their bytes.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import bloom_of, checkpoint, load, text_of
+from folioscan.llm.common import checkpoint, fresh, load, may_have, text_of
 
 #: Fingerprints that an owner holds on average.
 OWNER_ROWS = 1_000_000
@@ -98,6 +97,11 @@ def suspects(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(receive, fingerprints.schema)
 
 
+def normal(text_col: str) -> Column:
+    """The text with each run of white space as one space, null as empty."""
+    return F.regexp_replace(text_of(text_col), r"[\x20\x09-\x0D]+", " ")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts that are equal once each run of white space is one space.
 
@@ -105,17 +109,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest id of its group (null ids last; of repeated rows with that id, one stays). Null texts count as empty, empty
     texts are equal to each other, an empty table gives no rows, other columns are ignored.
     """
-    norm = F.regexp_replace(text_of(text_col), r"[\x20\x09-\x0D]+", " ")
+    norm = normal(text_col)
     base = checkpoint(
         docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
         .select("doc_id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.spark_partition_id().alias("sender"), F.monotonically_increasing_id().alias("row"))
     )
     doubtful = checkpoint(suspects(base.select("sender", "fp", "doc_id", "row", "sha")))
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(doubtful.select("fp").distinct(), "fp"))
-
-    @F.pandas_udf("boolean")
-    def may_repeat(fp: pd.Series) -> pd.Series:
-        return pd.Series(bloom.value.test(fp.to_numpy().view(np.uint64)))
+    may_repeat = may_have(doubtful.select("fp").distinct(), "fp")
 
     # The suspects' bytes: the aggregate's key is the text itself, so equal means equal byte by byte.
     texts = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).where(may_repeat("fp")).groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("n"))
@@ -135,6 +135,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts (exact_groups says which), with all its columns; other rows are not shuffled."""
+    sha, keep = fresh(docs, "sha"), fresh(docs, "keep")
+    first = exact_groups(docs, id_col, text_col).where("group_size > 1 and kept").select(F.unhex("text_sha256").alias(sha), F.struct(F.col("doc_id").alias("id")).alias(keep))
+    first = checkpoint(first)
+    repeats = may_have(first.select(F.xxhash64(sha).alias("h")), "h")(F.xxhash64(sha))
+    tagged = docs.withColumn(sha, F.unhex(F.sha2(normal(text_col), 256)))
+    doubtful = tagged.where(repeats).join(first, sha, "left").where(F.col(keep).isNull() | F.col(id_col).eqNullSafe(F.col(f"{keep}.id"))).dropDuplicates([sha])
+    return tagged.where(~repeats).select(*docs.columns).union(doubtful.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(load(spark, sf_dir, "documents"))
 

@@ -6,6 +6,7 @@ import corpus_pipeline
 from folioscan.llm import chat, embedding_dedup, exact_dedup, licenses, packing, sentencepiece_ops, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_sentencepiece": sentencepiece_ops.query,
     "op2_embedding_dedup": embedding_dedup.query,
     "op3_licenses": licenses.query,

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import checkpoint, load, text_of
+from folioscan.llm.common import checkpoint, fresh, load, may_have, text_of
 from folioscan.llm.graph import components, settle
 
 RADIUS, SHINGLE, GROUP = 4, 4, 4096
@@ -183,5 +183,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id (null last, then by the text's hash), with all its columns.
+
+    Rows with one text and id count as one. Only rows that may have to go are shuffled.
+    """
+    sha = fresh(docs, "sha")
+    tagged = docs.withColumn(sha, F.unhex(F.sha2(text_of(text_col), 256)))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(sha).alias("sha"))
+    groups = near_groups(tagged.select(key.alias("doc_id"), F.col(text_col).alias("text")), size=size, radius=radius)
+    gone = checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id.id").alias("gone_id"), F.col("doc_id.sha").alias("gone_sha")).distinct())
+    doubt = may_have(gone.select(F.xxhash64("gone_sha").alias("h")), "h")(F.xxhash64(sha))
+    left = tagged.where(doubt).join(gone, (F.col(sha) == F.col("gone_sha")) & F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    return tagged.where(~doubt).select(*docs.columns).union(left.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import bloom_of, checkpoint, load, text_of
+from folioscan.llm.common import bloom_of, checkpoint, fresh, load, may_have, text_of, written
 from folioscan.llm.winnow import anchors
 
 LENGTH = 200
@@ -171,15 +171,10 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             })
 
     found = texts.mapInArrow(cut, "h long, key binary, context binary, sha binary, at long, windows int")
-    found = _written(found)
+    found = written(found)
     keys = checkpoint(found.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")))
     many = checkpoint(keys.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1").select("h", F.when(F.col("distinct") > BUCKET, F.ceil(F.col("distinct") / (BUCKET // 2))).otherwise(1).cast("int").alias("blocks")))
-    wanted = texts.sparkSession.sparkContext.broadcast(bloom_of(many, "h"))
-
-    @F.pandas_udf("boolean")
-    def may_meet(h: pd.Series) -> pd.Series:
-        return pd.Series(wanted.value.test(h.to_numpy().view(np.uint64)))
-
+    may_meet = may_have(many, "h")
     contexts = found.where(F.col("context").isNotNull()).select("h", "key", "context").where(may_meet("h")).groupBy("h", "key").agg(F.first("context").alias("context"))
     mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     dealt = contexts.join(many, "h").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -217,16 +212,6 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return hits.select("sha", ranges.alias("r")).groupBy("sha").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """The table in the shared checkpoint folder as compressed Parquet: contexts overlap, so they shrink."""
-    import uuid
-
-    checkpoint(df.sparkSession.range(1))  # a folder is set
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/suffix-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def merge(flat: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of the union of ranges; ranges that touch are one run."""
     out: list[tuple[int, int]] = []
@@ -238,16 +223,11 @@ def merge(flat: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The spans, and (sha, n_removed, n_spans, kept_sha256, kept binary) of each distinct text that loses bytes."""
+def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH):
+    """A test (on xxhash64 of a text's SHA-256) of which texts may lose bytes, and (sha, n_removed, n_spans, kept_sha256, kept binary) of each distinct text that does."""
     own = docs.select(F.encode(text_of(text_col), "UTF-8").alias("text"))
     cuts = checkpoint(spans(own, length))
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(cuts.select(F.xxhash64("sha").alias("h")), "h"))
-
-    @F.pandas_udf("boolean")
-    def may_lose(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.value.test(h.to_numpy().view(np.uint64)))
-
+    may_lose = may_have(cuts.select(F.xxhash64("sha").alias("h")), "h")
     texts = own.withColumn("sha", F.unhex(F.sha2("text", 256))).where(may_lose(F.xxhash64("sha"))).groupBy("sha").agg(F.first("text").alias("text"))
 
     def run(batches):
@@ -263,7 +243,7 @@ def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> tu
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["sha", "n_removed", "n_spans", "kept_sha256", "kept"]) if rows else b.slice(0, 0)
 
     schema = "sha binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return cuts, texts.join(cuts, "sha").select("sha", "text", "spans").mapInArrow(run, schema)
+    return may_lose, texts.join(cuts, "sha").select("sha", "text", "spans").mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -281,5 +261,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     )
 
 
+def remove(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """The rows with the repeated bytes cut out of their texts; other columns stay, a column `n_chars` counts again.
+
+    What a cut leaves of a character is dropped with it. Rows whose text nothing is cut from are not shuffled.
+    """
+    sha, kept = fresh(docs, "sha"), fresh(docs, "kept")
+    may_lose, lost = trimmed(docs, text_col, length)
+    tagged = docs.withColumn(sha, F.unhex(F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)))
+    lost = lost.select(F.col("sha").alias(sha), F.col("kept").alias(kept))
+
+    @F.pandas_udf("string")
+    def text(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    hit = may_lose(F.xxhash64(sha))
+    cut = tagged.where(hit).join(written(lost), sha, "left")
+    cut = cut.withColumn(text_col, F.when(F.col(kept).isNull(), F.col(text_col)).otherwise(text(kept)))
+    if count_col in docs.columns:
+        cut = cut.withColumn(count_col, F.length(text_of(text_col)).cast(docs.schema[count_col].dataType))
+    return tagged.where(~hit).select(*docs.columns).union(cut.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(load(spark, sf_dir, "documents"))
