@@ -23,6 +23,8 @@ from folioscan.llm.graph import components, settle
 THRESHOLD = 0.95
 #: Rows of a block, centres at most (a sample of 4 x as many rows is fetched for them), and rows that a leaf may hold.
 BLOCK, CENTRES, LEAF = 4096, 256, 8
+#: Nodes of one block that are compared with a run of another's at a time: their products stay in a core's cache.
+TILE = 256
 #: Guard of the bounds against rounding; pairs inside it are compared exactly.
 SLACK = 1e-7
 
@@ -115,8 +117,8 @@ def _tiles(a0, a1, b0, b1, large: int = 4096, most: int = 200_000):
     """The pairs of members of pairs of runs: whole rectangles (x0, x1, y0, y1) of large ones, lists (x, y) of small ones."""
     area = (a1 - a0) * (b1 - b0)
     for k in np.flatnonzero(area >= large):
-        for x in range(int(a0[k]), int(a1[k]), 2048):
-            yield (x, min(x + 2048, int(a1[k])), int(b0[k]), int(b1[k])), None
+        for x in range(int(a0[k]), int(a1[k]), TILE):
+            yield (x, min(x + TILE, int(a1[k])), int(b0[k]), int(b1[k])), None
     few = np.flatnonzero((area < large) & (area > 0))
     ends = np.cumsum(area[few])
     at = 0
@@ -131,18 +133,24 @@ def _tiles(a0, a1, b0, b1, large: int = 4096, most: int = 200_000):
 
 
 def _near(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of centres whose chord may be at most `most` and both radii, in single precision with room for its error.
+    """Candidate pairs of centres (single precision, with room for its error) whose chord may be at most `most` and both radii.
 
     Most nodes of scattered data hold one row, so their bound is one number; rows and columns with a radius get their own.
     """
-    dots = a.astype(np.float32) @ b.astype(np.float32).T
+    dots = a @ b.T
     limit = lambda r: (1 - (most + SLACK + r) ** 2 / 2 - 1e-5).astype(np.float32)
     keep = dots >= limit(np.float64(1e-6))
     wide = np.flatnonzero(ra > 5e-7)
     keep[wide] = dots[wide] >= limit(ra[wide, None] + rb[None, :])
     wide = np.flatnonzero(rb > 5e-7)
     keep[:, wide] = dots[:, wide] >= limit(ra[:, None] + rb[None, wide])
-    return np.nonzero(keep)
+    return np.divmod(np.flatnonzero(keep.ravel()), keep.shape[1])
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray, mate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All members of runs, each with its run's mate."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(mate, n)
 
 
 def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,6 +158,7 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
     most = float(np.sqrt(2 - 2 * threshold))
     count_a, count_b = np.zeros(len(a.rows) + 1, np.int64), np.zeros(len(b.rows) + 1, np.int64)
     left, right = [], []
+    held: tuple = (None, None)
     i = j = np.zeros(1, np.int64)
     for level in range(len(a.kids)):
         (a0, a1), (b0, b1) = a.kids[level][i].T, b.kids[level][j].T
@@ -157,7 +166,9 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
         for box, pair in _tiles(a0, a1, b0, b1):
             if box:
                 x, y = slice(*box[:2]), slice(*box[2:])
-                p, q = _near(a.centre(level, x), b.centre(level, y), a.radius[level][x], b.radius[level][y], most)
+                if (level, box[2:]) != held[0]:
+                    held = (level, box[2:]), b.centre(level, y).astype(np.float32)
+                p, q = _near(a.centre(level, x).astype(np.float32), held[1], a.radius[level][x], b.radius[level][y], most)
                 p, q = p + box[0], q + box[2]
             else:
                 p, q = pair
@@ -175,11 +186,9 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
             np.add.at(count_a, s1, -(t1 - t0 - twice))
             np.add.at(count_b, t0[~twice], (s1 - s0)[~twice])
             np.add.at(count_b, t1[~twice], -(s1 - s0)[~twice])
-            left.append(s0)
-            right.append(t0)
-            for e0, e1, f0, f1 in zip(*(x[(s1 - s0 > 1) | (t1 - t0 > 1)].tolist() for x in (s0, s1, t0, t1)), strict=True):
-                left += [np.arange(e0, e1), np.full(f1 - f0, e0)]
-                right += [np.full(e1 - e0, f0), np.arange(f0, f1)]
+            for x, y in (_spread(s0, s1, t0), _spread(t0, t1, s0)[::-1]):
+                left.append(x)
+                right.append(y)
             new_i.append(p[~whole])
             new_j.append(q[~whole])
         i, j = np.concatenate([*new_i, np.zeros(0, np.int64)]), np.concatenate([*new_j, np.zeros(0, np.int64)])
