@@ -1,4 +1,539 @@
-"""Registered queries and their DuckDB twins."""
+"""Registered queries, each beside its DuckDB twin. All run over whole tables; limits are the k of a top-k."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscan.functions import text as T
+from folioscan.functions import vectors as V
+from folioscan.operators import chunking, encode, extract, facets, incremental, jobs, quality, search
+from folioscan.plans import adapters as A
+from folioscan.sources import shards
+from folioscan.sources.index_store import IndexStore
+from folioscan.streaming.refresh import job_state_stream, refresh_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Lists of strings joined by a bar, so that any client compares them."""
+    return df.select(*(F.array_join(c, "|").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes))
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; a temporary one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscan-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Keyword search
+
+_COUNT = "(length(lower({c})) - length(replace(lower({c}), '{w}', ''))) // length('{w}')"
+
+
+def _text_sql(words: list[str], where: str = "") -> str:
+    score = " + ".join(f"3 * ({_COUNT.format(c='title', w=w)}) + {_COUNT.format(c='abstract', w=w)}" for w in words)
+    hold = " AND ".join(f"contains(lower(title || chr(10) || chr(10) || abstract), '{w}')" for w in words)
+    return f"WITH {A.PAPERS}, s AS (SELECT *, CAST({score} AS DOUBLE) AS sc FROM papers WHERE {hold} {where}) SELECT {A.PAYLOAD}, round(sc, 4) AS score FROM s ORDER BY sc DESC, arxiv_id LIMIT 10"
+
+
+@query("search_abstract_text", _text_sql(["the", "tion"]))
+def _(spark, sf):
+    return flat(search.search_text(A.papers(spark, sf), "The tion", 10))
+
+
+@query("search_abstract_text_domain", _text_sql(["ver"], "AND list_contains(string_split(domain, ','), 'de')"))
+def _(spark, sf):
+    return flat(search.search_text(A.papers(spark, sf), "ver", 10, domain="de"))
+
+
+@query("search_abstract_text_tag", _text_sql(["er", "an"], "AND list_contains(tags, 'quality-1')"))
+def _(spark, sf):
+    return flat(search.search_text(A.papers(spark, sf), "er an", 10, tag="quality-1"))
+
+
+@query("search_abstract_text_empty", f"WITH {A.PAPERS} SELECT {A.PAYLOAD}, CAST(0 AS DOUBLE) AS score FROM papers WHERE false")
+def _(spark, sf):
+    return flat(search.search_text(A.papers(spark, sf), "  "))
+
+
+@query("match_counts", f"WITH {A.PAPERS} SELECT source, count(*) AS n, CAST(sum({_COUNT.format(c='abstract', w='er')}) AS BIGINT) AS hits FROM papers WHERE contains(lower(abstract), 'er') GROUP BY source")
+def _(spark, sf):
+    p = A.papers(spark, sf).withColumn("source", F.col("first_author")).where(T.has_all(F.col("abstract"), ["er"]))
+    return p.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(T.occurrences(F.lower("abstract"), "er")).alias("hits"))
+
+
+# Facets and lookups
+
+
+@query("list_tags", f"WITH {A.PAPERS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM papers) GROUP BY tag")
+def _(spark, sf):
+    return facets.list_tags(A.papers(spark, sf))
+
+
+@query("list_tags_filtered", f"WITH {A.PAPERS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM papers WHERE list_contains(string_split(domain, ','), 'en')) GROUP BY tag HAVING count(*) >= 2 AND starts_with(lower(tag), 'qual') ORDER BY n DESC, tag LIMIT 1")
+def _(spark, sf):
+    return facets.list_tags(A.papers(spark, sf), domain="en", min_count=2, prefix="QUAL", head_limit=1)
+
+
+@query("list_domains", f"WITH {A.PAPERS} SELECT domain, count(*) AS n FROM (SELECT unnest(string_split(domain, ',')) AS domain FROM papers) WHERE domain <> '' GROUP BY domain")
+def _(spark, sf):
+    return facets.list_domains(A.papers(spark, sf))
+
+
+@query("paper_info", f"WITH {A.PAPERS} SELECT {A.PAYLOAD}, CAST(0 AS DOUBLE) AS score FROM papers WHERE arxiv_id = '7'")
+def _(spark, sf):
+    return flat(facets.paper_info(A.papers(spark, sf), "7"))
+
+
+@query("paper_info_full", f"WITH {A.PAPERS} SELECT {A.PAYLOAD.replace("CASE WHEN length(abstract) > 600 THEN substr(abstract, 1, 600) || '…' ELSE abstract END AS abstract", 'abstract')}, CAST(0 AS DOUBLE) AS score FROM papers WHERE arxiv_id = '7'")
+def _(spark, sf):
+    return flat(facets.paper_info(A.papers(spark, sf), "7", full_abstract=True))
+
+
+def _sources(spark, sf):
+    """Full texts of a third of the documents; every seventh has no known source."""
+    d = A.load(spark, sf, "documents").where("doc_id % 3 = 0")
+    return d.select(F.col("doc_id").cast("string").alias("arxiv_id"), F.when(F.col("doc_id") % 7 != 0, F.element_at(F.array(F.lit("html"), F.lit("latex"), F.lit("pdf")), (F.col("doc_id") % 3 + F.col("doc_id") / 3 % 3 + 1).cast("int"))).alias("source"),
+                    F.when(F.col("doc_id") % 5 == 0, "no text").alias("error"), (F.col("doc_id") % 11).cast("int").alias("n_chunks"), "doc_id")
+
+
+_SOURCES = "src AS (SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 7 <> 0 THEN (['html','latex','pdf'])[CAST(floor(doc_id % 3 + fmod(doc_id / 3, 3) + 1) AS INTEGER)] END AS source, CASE WHEN doc_id % 5 = 0 THEN 'no text' END AS error, CAST(doc_id % 11 AS INTEGER) AS n_chunks, doc_id FROM documents WHERE doc_id % 3 = 0)"
+
+
+@query("fulltext_status", f"WITH {A.PAPERS}, {_SOURCES}, {A.CHUNK_VECTORS}, ix AS (SELECT DISTINCT arxiv_id FROM cv) SELECT p.arxiv_id, s.arxiv_id IS NOT NULL AS enriched, ix.arxiv_id IS NOT NULL AS indexed, s.source, coalesce(s.n_chunks, 0) AS n_chunks FROM papers p LEFT JOIN src s USING (arxiv_id) LEFT JOIN ix ON ix.arxiv_id = p.arxiv_id")
+def _(spark, sf):
+    return facets.fulltext_status(A.papers(spark, sf), _sources(spark, sf), A.chunk_vectors(spark, sf))
+
+
+@query("list_enriched", f"WITH {_SOURCES} SELECT DISTINCT arxiv_id FROM src")
+def _(spark, sf):
+    return facets.list_enriched(_sources(spark, sf))
+
+
+_VALIDATE = f"WITH {_SOURCES}, req AS (SELECT DISTINCT CAST(vec_id AS VARCHAR) AS arxiv_id FROM embeddings), av AS (SELECT CAST(page_id AS VARCHAR) AS arxiv_id FROM pages), st AS (SELECT arxiv_id, CASE WHEN arxiv_id IN (SELECT arxiv_id FROM src) THEN 'cached' WHEN arxiv_id IN (SELECT arxiv_id FROM av) THEN 'ok' ELSE 'pdf_fallback' END AS status FROM req) "
+
+
+def _statuses(spark, sf):
+    pages = A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"))
+    return facets.validate_ids(A.paper_vectors(spark, sf), pages, _sources(spark, sf))
+
+
+@query("validate_ids", _VALIDATE + "SELECT * FROM st")
+def _(spark, sf):
+    return _statuses(spark, sf)
+
+
+@query("validation_summary", _VALIDATE + "SELECT count(*) AS n_total, count(*) FILTER (status <> 'pdf_fallback') AS n_ok, count(*) FILTER (status = 'pdf_fallback') AS n_pdf_fallback, count(*) FILTER (status = 'cached') AS n_cached FROM st")
+def _(spark, sf):
+    return facets.validation_summary(_statuses(spark, sf))
+
+
+@query("fetch_breakdown", f"WITH {_SOURCES} SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM src GROUP BY 1")
+def _(spark, sf):
+    return facets.fetch_breakdown(_sources(spark, sf))
+
+
+@query("fetch_summary", f"WITH {_SOURCES} SELECT count(*) AS n_total, count(*) FILTER (error IS NULL) AS n_ok, count(*) FILTER (error IS NOT NULL) AS n_failed, string_agg(arxiv_id, '|' ORDER BY arxiv_id) FILTER (error IS NOT NULL) AS failed FROM src")
+def _(spark, sf):
+    return flat(facets.fetch_summary(_sources(spark, sf)))
+
+
+@query("index_summary", f"WITH {A.CHUNK_VECTORS} SELECT count(DISTINCT arxiv_id) AS n_papers, count(*) AS n_chunks, 64 AS dims, 'hashing' AS model, 4096 AS max_seq_length FROM cv")
+def _(spark, sf):
+    return facets.index_summary(A.chunk_vectors(spark, sf), "hashing", 64, 4096)
+
+
+@query("to_fetch", f"WITH {_SOURCES} SELECT DISTINCT CAST(vec_id AS VARCHAR) AS arxiv_id FROM embeddings WHERE CAST(vec_id AS VARCHAR) NOT IN (SELECT arxiv_id FROM src)")
+def _(spark, sf):
+    return extract.to_fetch(A.paper_vectors(spark, sf), _sources(spark, sf))
+
+
+# Corpus merge: two feeds over overlapping documents, the first with a second shard
+
+
+def _feeds(spark, sf):
+    d = A.papers(spark, sf).withColumn("n", F.col("arxiv_id").cast("long"))
+    part = lambda cond, feed, shard, domain, mark: d.where(cond).select("arxiv_id", F.concat(F.lit(mark), "title").alias("title"), *[c for c in d.columns if c not in ("arxiv_id", "title", "domain", "n")], F.lit(domain).alias("domain"), F.lit(feed).alias("feed"), F.lit(shard).alias("shard"), F.col("n").cast("int").alias("pos"))
+    return part("n % 3 < 2", 0, "papers-2025-03.json", "chemistry", "").unionByName(part("n % 5 = 0", 0, "papers-2025-04.json", "chemistry", "v2 ")).unionByName(part("n % 3 > 0", 1, "papers-2025-03.json", "physics", "p "))
+
+
+_MERGE = f"""WITH {A.PAPERS}, f AS (
+  SELECT arxiv_id, title, 'chemistry' AS domain, 0 AS o FROM papers WHERE CAST(arxiv_id AS BIGINT) % 3 < 2 UNION ALL
+  SELECT arxiv_id, 'v2 ' || title, 'chemistry', 1 FROM papers WHERE CAST(arxiv_id AS BIGINT) % 5 = 0 UNION ALL
+  SELECT arxiv_id, 'p ' || title, 'physics', 2 FROM papers WHERE CAST(arxiv_id AS BIGINT) % 3 > 0)
+SELECT arxiv_id, arg_max(title, o) AS title, string_agg(domain, ',' ORDER BY o) AS domain FROM f GROUP BY arxiv_id"""
+
+
+@query("corpus_merge", _MERGE)
+def _(spark, sf):
+    return shards.merge(_feeds(spark, sf)).select("arxiv_id", "title", "domain")
+
+
+@query("corpus_merge_domains", f"WITH m AS ({_MERGE}) SELECT domain, count(*) AS n FROM (SELECT unnest(string_split(domain, ',')) AS domain FROM m) GROUP BY domain")
+def _(spark, sf):
+    return facets.list_domains(shards.merge(_feeds(spark, sf)))
+
+
+# Vector search
+
+_QV = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0)"
+_VEC = "v AS (SELECT CAST(vec_id AS VARCHAR) AS arxiv_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+def _q(spark, sf) -> list[float]:
+    return search.vector_of(A.paper_vectors(spark, sf), "0")
+
+
+def _semantic_sql(exclude: str = "", scope: str = "") -> str:
+    return f"WITH {A.PAPERS}, {_QV}, {_VEC}, b AS (SELECT arxiv_id, list_inner_product(x, qv) AS sc FROM v, q {'WHERE arxiv_id IN (SELECT arxiv_id FROM papers WHERE ' + scope + ')' if scope else ''} {exclude} ORDER BY sc DESC, arxiv_id LIMIT 10) SELECT {A.PAYLOAD}, round(sc, 4) AS score FROM b JOIN papers USING (arxiv_id)"
+
+
+@query("search_abstract_semantic", _semantic_sql())
+def _(spark, sf):
+    return flat(search.search_semantic(A.papers(spark, sf), A.paper_vectors(spark, sf), _q(spark, sf), 10))
+
+
+@query("search_abstract_semantic_scoped", _semantic_sql(scope="list_contains(string_split(domain, ','), 'en') AND list_contains(tags, 'quality-1')"))
+def _(spark, sf):
+    return flat(search.search_semantic(A.papers(spark, sf), A.paper_vectors(spark, sf), _q(spark, sf), 10, domain="en", tag="quality-1"))
+
+
+@query("similar_to_abstract", _semantic_sql(exclude="WHERE arxiv_id <> '0'"))
+def _(spark, sf):
+    return flat(search.similar_to_abstract(A.papers(spark, sf), A.paper_vectors(spark, sf), "0", 10))
+
+
+@query("cosine_topk", f"WITH {_QV}, {_VEC}, b AS (SELECT arxiv_id, list_inner_product(x, qv) AS sc FROM v, q ORDER BY sc DESC, arxiv_id LIMIT 50) SELECT arxiv_id, round(sc, 4) AS score FROM b")
+def _(spark, sf):
+    return search.top_vectors(A.paper_vectors(spark, sf), _q(spark, sf), 50).select("arxiv_id", F.round("score", 4).alias("score"))
+
+
+@query("matryoshka_topk", f"WITH {_QV}, {_VEC}, s AS (SELECT arxiv_id, x[1:16] AS h, qv[1:16] AS g FROM v, q), b AS (SELECT arxiv_id, list_inner_product(h, g) / (sqrt(list_inner_product(h, h)) * sqrt(list_inner_product(g, g))) AS sc FROM s ORDER BY sc DESC, arxiv_id LIMIT 20) SELECT arxiv_id, round(sc, 4) AS score FROM b")
+def _(spark, sf):
+    short = A.paper_vectors(spark, sf).withColumn("embedding", V.shorten(F.col("embedding"), 16))
+    q = short.where("arxiv_id = '0'").select("embedding").first()[0]
+    return search.top_vectors(short, q, 20).select("arxiv_id", F.round("score", 4).alias("score"))
+
+
+@query("mean_vectors", f"WITH {A.CHUNK_VECTORS}, e AS (SELECT arxiv_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM cv) SELECT arxiv_id, CAST(i AS INTEGER) AS i, round(avg(x), 4) + 0.0 AS x FROM e GROUP BY arxiv_id, i")
+def _(spark, sf):
+    m = search.mean_vectors(A.chunk_vectors(spark, sf))
+    return m.select("arxiv_id", F.posexplode("embedding").alias("p", "x")).select("arxiv_id", (F.col("p") + 1).alias("i"), (F.round("x", 4) + 0.0).alias("x"))
+
+
+@query("similar_to_paper", f"""WITH {A.CHUNK_VECTORS}, e AS (SELECT generate_subscripts(v, 1) AS i, unnest(v) AS x FROM cv WHERE arxiv_id = '3'), m AS (SELECT i, avg(x) AS x FROM e GROUP BY i),
+  mq AS (SELECT list(x ORDER BY i) AS q FROM m), s AS (SELECT arxiv_id, section, chunk_idx, list_inner_product(v, q) / sqrt(list_inner_product(q, q)) AS sc FROM cv, mq WHERE arxiv_id <> '3'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY arxiv_id ORDER BY sc DESC, chunk_idx) AS n FROM s)
+SELECT arxiv_id, section, round(sc, 4) AS score FROM r WHERE n = 1 ORDER BY sc DESC, arxiv_id LIMIT 10""")
+def _(spark, sf):
+    return search.similar_to_paper(A.chunk_vectors(spark, sf), "3", 10)
+
+
+_JUNK = T.JUNK_SECTION.replace("'", "''")
+
+
+@query("search_paper_semantic", f"""WITH {A.CHUNK_VECTORS}, {_QV}, p AS (SELECT arxiv_id, section, chunk_idx, row, list_inner_product(v, qv) AS sc FROM cv, q ORDER BY sc DESC, row LIMIT 40),
+  j AS (SELECT *, regexp_matches(lower(trim(section)), '{_JUNK}') AS junk FROM p) SELECT arxiv_id, section, chunk_idx, row, round(sc, 4) AS score FROM j ORDER BY junk, sc DESC, row LIMIT 10""")
+def _(spark, sf):
+    c = A.chunk_vectors(spark, sf)
+    return search.search_chunks_semantic(c.drop("embedding", "section").join(c.select("row", "section"), "row").withColumn("text", F.lit("")), c, _q(spark, sf), 10).drop("snippet")
+
+
+@query("junk_sections", f"WITH {A.CHUNK_VECTORS} SELECT section, regexp_matches(lower(trim(section)), '{_JUNK}') AS junk, count(*) AS n FROM cv GROUP BY ALL")
+def _(spark, sf):
+    c = A.chunk_vectors(spark, sf)
+    return c.groupBy("section", T.is_junk_section(F.col("section")).alias("junk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Sections and chunks
+
+_SECTIONS = f"""WITH {A.MARKDOWN}, l AS (SELECT arxiv_id, generate_subscripts(string_split(markdown, chr(10)), 1) AS i, unnest(string_split(markdown, chr(10))) AS line FROM md),
+  g AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY arxiv_id ORDER BY i) AS sec FROM l),
+  a AS (SELECT arxiv_id, sec, CASE WHEN sec = 0 THEN 'Header' ELSE trim(substr(max(CASE WHEN starts_with(line, '## ') THEN line END), 4)) END AS section,
+        trim(string_agg(CASE WHEN starts_with(line, '## ') THEN NULL ELSE line END, chr(10) ORDER BY i), chr(10) || ' ') AS body FROM g GROUP BY arxiv_id, sec),
+  s AS (SELECT * FROM a WHERE body <> '')"""
+
+
+@query("section_split", _SECTIONS + " SELECT arxiv_id, section, length(body) AS n_chars, greatest(1, length(body) // 4) AS n_tokens_est FROM s")
+def _(spark, sf):
+    s = A.markdown(spark, sf).select("arxiv_id", F.explode(chunking.sections(F.col("markdown"))).alias("s"))
+    return s.select("arxiv_id", "s.section", F.length("s.body").alias("n_chars"), T.estimate_tokens(F.col("s.body")).alias("n_tokens_est"))
+
+
+@query("bucket_counts", _SECTIONS + ", t AS (SELECT greatest(1, length(body) // 4) AS n FROM s) SELECT CASE WHEN n <= 512 THEN '≤512t' WHEN n <= 2048 THEN '≤2048t' WHEN n <= 4096 THEN '≤4096t' ELSE '>4096t' END AS bucket, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY 1")
+def _(spark, sf):
+    return chunking.bucket_counts(chunking.chunk_markdown(A.markdown(spark, sf)))
+
+
+@query("chunk_markdown", _SECTIONS + " SELECT arxiv_id, section, CAST(0 AS INTEGER) AS chunk_idx, body AS text, length(body) AS n_chars, greatest(1, length(body) // 4) AS n_tokens_est FROM s")
+def _(spark, sf):
+    """At the default size a section of these is one chunk; smaller sizes are tested against their own rules."""
+    return chunking.chunk_markdown(A.markdown(spark, sf))
+
+
+@query("pack_paragraphs")
+def _(spark, sf):
+    return chunking.chunk_markdown(A.markdown(spark, sf), max_tokens=40, overlap=0.2)
+
+
+@query("search_paper_text", _SECTIONS + f""", n AS (SELECT arxiv_id, section, row_number() OVER (ORDER BY CAST(arxiv_id AS BIGINT), sec) AS row, body FROM s),
+  h AS (SELECT *, {_COUNT.format(c='body', w='the')} + {_COUNT.format(c='body', w='er')} AS sc FROM n WHERE contains(lower(body), 'the') AND contains(lower(body), 'er'))
+SELECT arxiv_id, section, CAST(0 AS INTEGER) AS chunk_idx, round(CAST(sc AS DOUBLE), 4) AS score FROM h ORDER BY sc DESC, row LIMIT 10""")
+def _(spark, sf):
+    c = chunking.chunk_markdown(A.markdown(spark, sf))
+    turn = F.coalesce(F.regexp_extract("section", r" (\d+)$", 1).try_cast("int"), F.lit(-1))
+    rows = c.withColumn("row", F.struct(F.col("arxiv_id").cast("long").alias("paper"), turn.alias("turn"), "chunk_idx"))
+    return search.search_chunks_text(rows, "the er", 10).select("arxiv_id", "section", "chunk_idx", "score")
+
+
+# String functions over whole tables
+
+
+@query("heading_normalise", f"WITH {A.CHUNK_VECTORS}, h AS (SELECT DISTINCT section FROM cv) SELECT section, trim(regexp_replace(regexp_replace(lower(trim(section)), '{T.NUMBERING}', ''), '{T.NUMBERING}', '')) AS plain FROM h")
+def _(spark, sf):
+    return A.chunk_vectors(spark, sf).select("section").distinct().select("section", T.normalize_heading(F.col("section")).alias("plain"))
+
+
+@query("text_functions", """SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n_clean, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS clean,
+  CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '…' ELSE text END AS short, greatest(1, length(text) // 4) AS n_tokens_est, 'https://arxiv.org/abs/' || doc_id AS url FROM documents""")
+def _(spark, sf):
+    d = A.load(spark, sf, "documents")
+    clean = T.clean_text(F.col("text"))
+    return d.select("doc_id", F.length(clean).alias("n_clean"), F.md5(clean).alias("clean"), T.truncate(F.col("text")).alias("short"), T.estimate_tokens(F.col("text")).alias("n_tokens_est"), T.paper_url(F.col("doc_id").cast("string")).alias("url"))
+
+
+@query("whitespace_normalise", f"WITH {A.MARKDOWN} SELECT arxiv_id, md5(trim(regexp_replace(regexp_replace(replace(markdown, chr(10) || chr(10), ' ' || chr(10) || chr(10) || chr(10) || chr(10)), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS tidy FROM md")
+def _(spark, sf):
+    messy = F.replace("markdown", F.lit("\n\n"), F.lit(" \n\n\n\n"))
+    return A.markdown(spark, sf).select("arxiv_id", F.md5(T.normalize_whitespace(messy)).alias("tidy"))
+
+
+@query("image_names", """SELECT page_id, CASE WHEN n = '' THEN 'figure.png' ELSE n END AS name, '![](' || 'x.media/' || page_id || '.png)' AS ref FROM (SELECT page_id,
+  regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]*)$', 1), '[^A-Za-z0-9._-]', '_', 'g'), '^\\.+', '') AS n FROM pages)""")
+def _(spark, sf):
+    p = A.load(spark, sf, "pages")
+    ref = F.concat(F.lit("![](images/"), F.col("page_id").cast("string"), F.lit(".png)"))
+    return p.select("page_id", T.safe_image_name(F.col("url")).alias("name"), T.rewrite_image_refs(ref, "images", "x.media").alias("ref"))
+
+
+# Extraction
+
+
+@query("html_title", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+def _(spark, sf):
+    return A.load(spark, sf, "pages").select("page_id", T.clean_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+
+
+@query("html_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n_links, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), '|') AS links FROM pages")
+def _(spark, sf):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)
+    return A.load(spark, sf, "pages").select("page_id", F.size(links).alias("n_links"), F.array_join(links, "|").alias("links"))
+
+
+@query("html_to_markdown")
+def _(spark, sf):
+    page = extract.html_to_markdown(F.col("html"), F.col("url"), image_dir="media")
+    return A.load(spark, sf, "pages").select("page_id", page.alias("m")).select("page_id", "m.markdown", F.size("m.images").alias("n_images"))
+
+
+@query("html_to_chunks")
+def _(spark, sf):
+    page = extract.html_to_markdown(F.col("html"), F.col("url"), plain_headings=True)
+    return chunking.chunk_markdown(A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"), page["markdown"].alias("markdown")))
+
+
+@query("html_stubs", "SELECT page_id, (length(html) < 5000 AND (contains(lower(html), 'conversion is not available') OR contains(lower(html), 'no html available'))) OR (length(html) < 15000 AND contains(lower(html), '<title></title>')) AS stub FROM pages")
+def _(spark, sf):
+    return A.load(spark, sf, "pages").select("page_id", extract.is_stub(F.col("html")).alias("stub"))
+
+
+@query("parse_quality", f"""WITH {A.MARKDOWN}, p AS (SELECT arxiv_id, markdown, list_filter(string_split(chr(10) || markdown, chr(10) || '## '), lambda x: true)[2:] AS parts FROM md),
+  e AS (SELECT arxiv_id, length(trim(substr(x, strpos(x, chr(10)) + 1), chr(10) || ' ')) AS n FROM (SELECT arxiv_id, unnest(parts) AS x FROM p))
+SELECT arxiv_id, 'latex' AS branch, CAST(count(*) AS INTEGER) AS n_headings, round(avg(n), 1) AS avg_body_len, false AS echo_skeleton FROM e GROUP BY arxiv_id""")
+def _(spark, sf):
+    return quality.parse_quality(A.markdown(spark, sf).withColumn("source", F.lit("latex"))).drop("markdown", "source")
+
+
+@query("echo_skeleton", f"""WITH {A.MARKDOWN}, l AS (SELECT arxiv_id, generate_subscripts(string_split(markdown, chr(10)), 1) AS i, unnest(string_split(markdown, chr(10))) AS line FROM md),
+  g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY arxiv_id ORDER BY i) AS sec FROM l),
+  b AS (SELECT arxiv_id, sec, length(trim(coalesce(string_agg(CASE WHEN starts_with(line, '#') THEN NULL ELSE line END, chr(10) ORDER BY i), ''), chr(10) || ' ')) AS n FROM g WHERE sec > 0 GROUP BY arxiv_id, sec)
+SELECT arxiv_id, CASE WHEN count(*) < 3 THEN false ELSE count(*) FILTER (n < 10) / count(*) > 0.7 OR avg(n) < 50 END AS echo FROM b GROUP BY arxiv_id""")
+def _(spark, sf):
+    return A.markdown(spark, sf).select("arxiv_id", quality.is_echo_skeleton(F.col("markdown")).alias("echo"))
+
+
+@query("fulltext_cascade", """WITH h AS (SELECT page_id AS id, html FROM pages WHERE page_id % 2 = 0), t AS (SELECT doc_id AS id, text FROM documents WHERE doc_id < (SELECT count(*) FROM pages))
+SELECT CAST(t.id AS VARCHAR) AS arxiv_id, CASE WHEN t.id % 2 = 0 THEN 'html' ELSE 'latex' END AS source, length(CASE WHEN t.id % 2 = 0 THEN h.html ELSE t.text END) AS n_chars FROM t LEFT JOIN h ON h.id = t.id""")
+def _(spark, sf):
+    """Pages of even number as the first tier, documents of a page's number as the second."""
+    pages = A.load(spark, sf, "pages")
+    html = pages.select(F.col("page_id").cast("string").alias("arxiv_id"), F.when(F.col("page_id") % 2 == 0, F.col("html")).alias("markdown"), F.lit(None).cast("string").alias("error"))
+    docs = A.load(spark, sf, "documents").join(pages.select(F.col("page_id").alias("doc_id")), "doc_id", "left_semi")
+    tex = docs.select(F.col("doc_id").cast("string").alias("arxiv_id"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("error"))
+    return extract.cascade([("html", html), ("latex", tex)]).select("arxiv_id", "source", "n_chars")
+
+
+@query("archive_sizes")
+def _(spark, sf):
+    docs = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.lit("html").alias("source"), F.col("text").alias("markdown"))
+    return extract.archive(docs).select("arxiv_id", F.length("zip").alias("n_bytes"))
+
+
+@query("encode_passages")
+def _(spark, sf):
+    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "text")
+    return encode.encode_passages(d, encode.HashingEncoder()).select("arxiv_id", F.round(F.element_at("embedding", 1).cast("double"), 4).alias("x1"), F.size("embedding").alias("dims"))
+
+
+@query("search_own_encoder")
+def _(spark, sf):
+    e = encode.HashingEncoder()
+    p = A.papers(spark, sf)
+    v = encode.encode_passages(p.select("arxiv_id", T.search_text(F.col("title"), F.col("abstract")).alias("text")), e).drop("text")
+    return flat(search.search_semantic(p, v, encode.encode_query(e, "the heating of thin"), 10))
+
+
+# Index upkeep
+
+
+def _index_state(spark, sf):
+    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id")
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    sources = d.where("doc_id % 4 <> 0").select("arxiv_id", at(F.when(F.col("doc_id") % 6 == 1, F.lit(60)).otherwise(F.lit(0))).alias("mtime"))
+    return sources, d.where("doc_id % 5 <> 0").select("arxiv_id", F.when(F.col("doc_id") % 11 != 0, at(F.lit(0))).alias("indexed_at"))
+
+
+_CLASSIFY = """WITH st AS (SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN 'new' WHEN doc_id % 4 = 0 THEN 'deleted'
+  WHEN doc_id % 11 = 0 OR doc_id % 6 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 5 <> 0)"""
+
+
+@query("index_classify", _CLASSIFY + " SELECT * FROM st")
+def _(spark, sf):
+    return incremental.classify(*_index_state(spark, sf))
+
+
+@query("incremental_merge", _CLASSIFY + ", k AS (SELECT arxiv_id, 'old' AS made FROM st WHERE status = 'unchanged' UNION ALL SELECT arxiv_id, 'fresh' FROM st WHERE status IN ('new', 'changed')) SELECT * FROM k")
+def _(spark, sf):
+    sources, indexed = _index_state(spark, sf)
+    st = incremental.classify(sources, indexed)
+    fresh = st.where("status in ('new', 'changed')").select("arxiv_id", F.lit("fresh").alias("made"))
+    return incremental.merge_index(indexed.select("arxiv_id", F.lit("old").alias("made")), st, fresh)
+
+
+@query("refresh_diff", "SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 3 = 0 THEN 'deleted' ELSE 'added' END AS change FROM documents WHERE (doc_id % 3 = 0) <> (doc_id % 4 = 0)")
+def _(spark, sf):
+    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id")
+    return incremental.diff_ids(d.where("doc_id % 3 = 0"), d.where("doc_id % 4 = 0"))
+
+
+@query("refresh_summary", "SELECT 'incremental' AS strategy, count(*) FILTER (doc_id % 3 <> 0) AS added, CAST(0 AS BIGINT) AS deleted, count(*) AS total FROM documents")
+def _(spark, sf):
+    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id", "text")
+    make = lambda rows: encode.encode_passages(rows.select("arxiv_id", "text"), encode.HashingEncoder()).drop("text")
+    old = d.where("doc_id % 3 = 0")
+    index, said = incremental.refresh(old, d, make(old), make)
+    return index.agg(F.count(F.lit(1)).alias("total")).select(F.lit(said["strategy"]).alias("strategy"), F.lit(said["added"]).cast("long").alias("added"), F.lit(said["deleted"]).cast("long").alias("deleted"), "total")
+
+
+@query("stream_refresh", "SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, length(text) AS n_chars FROM documents")
+def _(spark, sf):
+    root = shared_dir(spark, "refresh")
+    schema = A.load(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/documents.parquet*")
+    store = IndexStore(spark, f"{root}/index")
+    make = lambda rows: rows.select(F.col("arxiv_id"), F.length("text").alias("n_chars"))
+    refresh_stream(spark, stream.withColumn("arxiv_id", F.col("doc_id").cast("string")), store, make, f"{root}/checkpoint").awaitTermination()
+    return store.load()
+
+
+# Jobs
+
+_LATEST = f"WITH {A.JOBS}, lj AS (SELECT job_id, arg_max(state, seq) AS state, arg_max(kind, seq) AS kind, min(moment) AS started_at, CASE WHEN arg_max(state, seq) IN ('done', 'failed', 'orphaned') THEN arg_max(moment, seq) END AS finished_at, count(*) AS n_events FROM je GROUP BY job_id)"
+
+
+@query("job_latest", _LATEST + " SELECT * FROM lj")
+def _(spark, sf):
+    return jobs.latest(A.job_events(spark, sf))
+
+
+@query("job_recovered", _LATEST + " SELECT CASE WHEN state IN ('pending', 'running') THEN 'orphaned' ELSE state END AS state, count(*) AS n FROM lj GROUP BY 1")
+def _(spark, sf):
+    return jobs.recover(jobs.latest(A.job_events(spark, sf))).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("job_retention", _LATEST + " SELECT * FROM lj WHERE finished_at IS NULL OR finished_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY")
+def _(spark, sf):
+    return jobs.retain(jobs.latest(A.job_events(spark, sf)), F.expr("timestamp_ntz '2024-01-30 12:00:00'"))
+
+
+@query("job_list", _LATEST + " SELECT * FROM lj ORDER BY started_at DESC, job_id LIMIT 50")
+def _(spark, sf):
+    return jobs.job_list(jobs.latest(A.job_events(spark, sf)), 50)
+
+
+@query("job_progress", f"WITH {A.JOBS} SELECT job_id, count(*) FILTER (state = 'done') / count(*) AS progress FROM je GROUP BY job_id")
+def _(spark, sf):
+    return A.job_events(spark, sf).groupBy("job_id").agg(jobs.progress(F.count_if(F.col("state") == "done"), F.count(F.lit(1))).alias("progress"))
+
+
+@query("job_states_by_hour", f"WITH {A.JOBS} SELECT date_trunc('hour', moment) AS hour, state, count(*) AS n, count(*) FILTER (state IN ('pending', 'running')) AS n_active FROM je GROUP BY ALL")
+def _(spark, sf):
+    out = job_state_stream(A.job_events(spark, sf))
+    return out.select(F.col("hour.start").cast("timestamp_ntz").alias("hour"), "state", "n", "n_active")
+
+
+# Rankings
+
+_RANKS = f"{_QV}, {_VEC}, d AS (SELECT arxiv_id, list_inner_product(x, qv) AS a, x[1] AS b FROM v, q), r AS (SELECT arxiv_id AS id, row_number() OVER (ORDER BY a DESC, arxiv_id) AS ra, row_number() OVER (ORDER BY b DESC, arxiv_id) AS rb FROM d)"
+
+
+def _rankings(spark, sf) -> DataFrame:
+    """(list, id, rank) of the 100 best by cosine and by the first component."""
+    v = A.paper_vectors(spark, sf)
+    one = search.top_vectors(v, _q(spark, sf), 100).select(F.lit("cosine").alias("list"), F.col("arxiv_id").alias("id"), "score")
+    axis = [1.0] + [0.0] * 63
+    two = search.top_vectors(v, axis, 100).select(F.lit("axis").alias("list"), F.col("arxiv_id").alias("id"), "score")
+    from pyspark.sql import Window
+
+    return one.unionByName(two).withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(F.desc("score"), "id")))
+
+
+@query("rrf_fusion", f"WITH {_RANKS}, u AS (SELECT id, ra AS rank FROM r WHERE ra <= 100 UNION ALL SELECT id, rb FROM r WHERE rb <= 100) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS score FROM u GROUP BY id")
+def _(spark, sf):
+    return search.fuse(_rankings(spark, sf))
+
+
+@query("overlap_at_k", f"WITH {_RANKS} SELECT 'q' AS query, round(count(*) / 100.0, 4) AS overlap FROM r WHERE ra <= 100 AND rb <= 100 HAVING count(*) > 0")
+def _(spark, sf):
+    r = _rankings(spark, sf).withColumn("query", F.lit("q"))
+    return facets.overlap_at_k(r.where("list = 'cosine'"), r.where("list = 'axis'"), 100)
+
+
+@query("recall_at_k", """WITH r AS (SELECT vec_id AS query, CASE WHEN vec_id % 13 <> 0 THEN vec_id % 17 + 1 END AS rank FROM embeddings)
+SELECT count(*) AS n_queries, round(count(*) FILTER (rank <= 1) / count(*), 4) AS recall_at_1, round(count(*) FILTER (rank <= 3) / count(*), 4) AS recall_at_3, round(count(*) FILTER (rank <= 10) / count(*), 4) AS recall_at_10, quantile_cont(rank, 0.5) AS median_rank FROM r""")
+def _(spark, sf):
+    e = A.load(spark, sf, "embeddings")
+    return facets.recall_at_k(e.select(F.col("vec_id").alias("query"), F.when(F.col("vec_id") % 13 != 0, F.col("vec_id") % 17 + 1).alias("rank")))
+
+
+@query("rerank", f"WITH {A.PAPERS}, c AS (SELECT * FROM papers WHERE contains(lower(title), 'the')) SELECT arxiv_id, CAST(length(title || chr(10) || chr(10) || abstract) AS DOUBLE) AS score FROM c ORDER BY score DESC, arxiv_id LIMIT 10")
+def _(spark, sf):
+    hits = A.papers(spark, sf).where(F.lower("title").contains("the"))
+    return search.rerank(hits, "the", lambda q, texts: [len(t) for t in texts], 10).select("arxiv_id", "score")
