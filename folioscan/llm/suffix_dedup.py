@@ -24,7 +24,7 @@ from folioscan.llm.winnow import anchors
 
 LENGTH = 200
 #: Bytes of text that a pass holds at a time, characters of one suffix array, and contexts of an anchor beyond which it is split.
-SLICE_BYTES, SORT_CHARS, BUCKET = 1_000_000, 1_500_000, 8192
+SLICE_BYTES, SORT_CHARS, BUCKET = 1_000_000, 400_000, 2048
 
 
 def _names(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -202,7 +202,9 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 size += len(c)
         yield from flush()
 
-    ordered = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    # Sorting costs far more than its bytes tell, so the number of tasks is stated rather than left to be merged by size.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j")
     partly = ordered.mapInArrow(sort, "key binary, runs array<int>")
     whole = keys.where("n > 1").select("key", F.array(F.lit(0), F.lit(1 << 30)).alias("runs"))
     runs = partly.union(whole).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
