@@ -124,7 +124,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256")).cast("long")).otherwise(F.col("n")).alias("group_size"))
     )
     first = doubtful.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    groups = verified.join(first, "sha").select("sha", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
+    # Written first, so that handing it out to the rows is a join whose skewed keys Spark can split.
+    groups = checkpoint(verified.join(first, "sha").select("sha", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"))
     grouped = doubtful.select("row", "sha").join(groups, "sha").select("row", "keep_id", "keep_row", "group_size")
     return base.join(grouped, "row", "left").select(
         "doc_id",
