@@ -21,8 +21,8 @@ from folioscan.llm.common import checkpoint, load
 from folioscan.llm.graph import components, settle
 
 THRESHOLD = 0.95
-#: Rows of a block, centres at most (a sample of 4 x as many rows is fetched for them), and rows that a leaf may hold.
-BLOCK, CENTRES, LEAF = 4096, 256, 8
+#: Rows of a block, and centres at most (a sample of 4 x as many rows is fetched for them).
+BLOCK, CENTRES = 4096, 256
 #: Nodes of one block that are compared with a run of another's at a time: their products stay in a core's cache.
 TILE = 256
 #: Guard of the bounds against rounding; pairs inside it are compared exactly.
@@ -79,7 +79,7 @@ class CoverTree:
             kids, next_runs, centres = [], [], []
             for (lo, hi), done in zip(runs, split, strict=True):
                 first = len(next_runs)
-                if level and (done or hi - lo <= LEAF):
+                if level and (done or hi - lo == 1):
                     next_runs.append((lo, hi))
                     centres.append(order[lo])
                 else:
@@ -159,9 +159,15 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
     count_a, count_b = np.zeros(len(a.rows) + 1, np.int64), np.zeros(len(b.rows) + 1, np.int64)
     left, right = [], []
     held: tuple = (None, None)
+    # Where a level has hardly more pairs of nodes than the first one, testing the levels above would cost as much and prune less.
+    pairs = [len(x) * len(y) for x, y in zip(a.lo, b.lo, strict=True)]
+    first = max((k for k in range(2, len(pairs)) if pairs[k] <= 1.5 * pairs[1]), default=0)
     i = j = np.zeros(1, np.int64)
-    for level in range(len(a.kids)):
-        (a0, a1), (b0, b1) = a.kids[level][i].T, b.kids[level][j].T
+    for level in range(first, len(a.kids)):
+        if level == first:
+            (a0, a1), (b0, b1) = (np.array([0]), np.array([len(a.lo[level])])), (np.array([0]), np.array([len(b.lo[level])]))
+        else:
+            (a0, a1), (b0, b1) = a.kids[level][i].T, b.kids[level][j].T
         new_i, new_j = [], []
         for box, pair in _tiles(a0, a1, b0, b1):
             if box:
