@@ -137,7 +137,7 @@ class Pieces:
         return ids
 
     def _words(self, text: str) -> list[str]:
-        if MARK not in text and "  " not in text and self.dummy and text:
+        if self.dummy and text and text[0] != " " and MARK not in text and "  " not in text:
             return [MARK + w for w in text.split(" ")]
         marked = text.replace(" ", MARK)
         return _WORD.findall(MARK + marked if self.dummy and text else marked)
