@@ -18,7 +18,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases that the base counts, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: One of these is in every text that any rule can match.
-ANCHORS = ("licen", "gpl", "commons", "reserved", "copyright", "public", "spdx", "warranty", "cc")
+ANCHORS = ("licen", "gpl", "commons", "reserved", "copyright", "public", "spdx", "warrant", "clause", "cc")
 
 _LICENSE = "licen[sc]ed?"
 _VERSION = "(?: version| v| ver)?"
@@ -63,18 +63,18 @@ PLAIN = (
     ("mit", "(?:the )?mit|expat|massachusetts institute of technology", "licen", True), ("isc", "isc|internet systems consortium", "licen", True),
     ("bsd", "(?:the )?(?:new |revised |modified |simplified )?bsd|berkeley software distribution", "licen", True), ("zlib", "zlib|zlib libpng", "zlib", True),
     ("x11", "x11|x consortium", "licen", True), ("openssl", "openssl", "openssl", True), ("sleepycat", "sleepycat", "sleepycat", True), ("vim", "vim", "vim", True),
-    ("qpl", "q public|qt public", "licen", True), ("ruby", "ruby", "ruby", True), ("ftl", "freetype(?: project)?", "freetype", True), ("ijg", "independent jpeg group", "jpeg", False),
-    ("curl", "curl", "curl", True), ("postgresql", "postgresql", "postgresql", True), ("unlicense", "(?:the )?unlicense", "unlicense", False), ("wtfpl", "wtfpl|do what the fuck you want to public", "w", False),
+    ("qpl", "q public|qt public", "licen", True), ("ruby", "ruby", "ruby", True), ("ftl", "freetype(?: project)?", "freetype", True), ("ijg", "independent jpeg group", "jpeg", True),
+    ("curl", "curl", "curl", True), ("postgresql", "postgresql", "postgresql", True), ("unlicense", "(?:the )?unlicense", "unlicense", False), ("wtfpl", "wtfpl|do what the fuck you want to public", "licen", True),
     ("beerware", "beer ?ware", "beer", True), ("ms-pl", "microsoft public|ms pl", "licen", True), ("ms-rl", "microsoft reciprocal|ms rl", "licen", True), ("json", "json", "json", True),
     ("ipl", "ibm public", "ibm", True), ("intel", "intel open source", "intel", True), ("nokia", "nokia open source", "nokia", True), ("lucent", "lucent public", "lucent", True),
-    ("tcl", "tcl tk", "tcl", True), ("hpnd", "historical permission notice and disclaimer", "historical", False), ("0bsd", "zero clause bsd|0bsd|bsd zero clause", "bsd", True), ("mit-0", "mit no attribution|mit 0", "mit", True),
-    ("public-domain", "(?:in|into|to) the public domain|public domain dedication", "public domain", False), ("cc0", "cc0(?: 1 0)?(?: universal)?|creative commons zero", "cc0", False),
-    ("pddl", "open data commons public domain dedication(?: and license)?|pddl", "licen", False), ("odc-by", "open data commons attribution", "commons", True),
-    ("proprietary", "proprietary and confidential|confidential and proprietary", "confidential", False), ("commons-clause", "commons clause", "commons clause", False),
+    ("tcl", "tcl tk", "tcl", True), ("hpnd", "historical permission notice and disclaimer", "historical", True), ("0bsd", "zero clause bsd|0bsd|bsd zero clause", "bsd", True), ("mit-0", "mit no attribution|mit 0", "mit", True),
+    ("public-domain", "(?:in|into|to) the public domain|public domain dedication", "public domain", False), ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0", False), ("cc0", "creative commons zero", "commons", False),
+    ("pddl", "open data commons public domain dedication(?: and license)?", "commons", False), ("odc-by", "open data commons attribution", "commons", True),
+    ("proprietary", "proprietary|commercial", "licen", True), ("commons-clause", "commons clause", "commons clause", False),
     ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}|copyrighted", "copyright", False), ("as-is", "provided as is without warrant(?:y|ies)|without warranty of any kind", "warrant", False),
-    ("spdx", "spdx license identifier", "spdx", False), ("dual", "dual licensed", "licensed", False), ("licensed", "licensed under|under the terms of the|released under the", "under", False),
+    ("spdx", "spdx license identifier", "spdx", False), ("dual", "dual licensed", "licensed", False), ("licensed", "licensed(?: to you)? under|under (?:the terms of )?(?:this|the) license", "under", False),
 )
-_GNU = (("gpl", "(?:gnu )?(?:general public license|gpl)", "1 2 3"), ("lgpl", "(?:gnu )?(?:lesser general public license|library general public license|lgpl)", "2 2.1 3"), ("agpl", "(?:gnu )?(?:affero general public license|agpl)", "1 3"), ("gfdl", "(?:gnu )?(?:free documentation license|gfdl|fdl)", "1.1 1.2 1.3"))
+_GNU = (("gpl", "(?:gnu )?(?:general public license|gpl)", "1 2 3"), ("lgpl", "(?:gnu )?(?:lesser general public license|library general public license|lgpl)", "2 2.1 3"), ("agpl", "(?:gnu )?(?:affero general public license|agpl)", "1 3"), ("gfdl", "(?:gnu )?free documentation license", "1.1 1.2 1.3"))
 _CC = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
 _CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?(?: work)?s?"}
 
@@ -84,8 +84,8 @@ def rules() -> list[tuple[str, int, str, str, bool]]:
     out: list[tuple[str, int, str, str, bool]] = []
     for label, names, keyword, versions in VERSIONED:
         for v in versions.split(";"):
-            exact = f"(?:{names})(?: {_LICENSE})?{_VERSION} ?{v.replace(' ', ' ?')}"
-            out.append((f"{label}-{v.replace(' ', '.')}", 3, keyword, f"(?:{exact}(?: {_LICENSE})?)" if keyword != "licen" else f"(?:(?:{names}) {_LICENSE}{_VERSION} ?{v.replace(' ', ' ?')})", False))
+            number = f"{_VERSION} ?{v.replace(' ', ' ?')}"
+            out.append((f"{label}-{v.replace(' ', '.')}", 3, keyword, f"(?:{names})(?: {_LICENSE}{number}|{number} {_LICENSE})", False))
         out.append((label, 2, keyword, f"(?:{names}) {_LICENSE}", False))
     for label, names, versions in _GNU:
         keyword = {"gfdl": "doc"}.get(label, "g")

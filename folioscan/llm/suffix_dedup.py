@@ -105,8 +105,8 @@ def repeated_windows(contexts: list[bytes], length: int = LENGTH) -> list[np.nda
     words = np.lib.stride_tricks.as_strided(data[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (1, 1))
     left, right = order[:-1], order[1:]
     alive = np.arange(len(left))
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        alive = alive[(words[left[alive] + at] == words[right[alive] + at]).all(axis=1)]
+    for at in [*range(0, length - 7, 8), *([max(0, length - 8)] if length % 8 else [])]:
+        alive = alive[(words[left[alive] + at] == words[right[alive] + at])[:, :length].all(axis=1)]
     hit = np.zeros(len(data), bool)
     hit[left[alive]] = hit[right[alive]] = True
     return [hit[a : a + max(0, n)] for a, n in zip(starts.tolist(), count.tolist(), strict=True)]
