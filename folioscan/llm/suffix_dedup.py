@@ -12,6 +12,7 @@ what may repeat, while no repeated string is lost.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from folioscan.llm.winnow import anchors
 LENGTH = 200
 #: Bytes of text that a pass holds at a time, characters of one suffix array, and contexts of an anchor beyond which it is split.
 SLICE_BYTES, SORT_CHARS, BUCKET = 1_000_000, 400_000, 2048
+#: Rows of split anchors that are broadcast at most (20 bytes each); more of them are joined.
+HOT_ROWS = 100_000
 
 
 def _names(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -133,7 +136,7 @@ def _slices(batches):
 
 
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(sha binary, spans array<long>): byte ranges (start, stop, flat, maybe overlapping) to remove from each distinct text of (text binary) rows; texts without any are left out. Equal rows repeat each other."""
+    """(sha binary of 16 bytes, spans array<long>): byte ranges (start, stop, flat, maybe overlapping) to remove from each distinct text of (text binary) rows; texts without any are left out. Equal rows repeat each other."""
     gram = 1 << int(np.log2(length * 2 // 3))
 
     def count(batches):
@@ -145,9 +148,11 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_of(repeated, "h"))
 
     def cut(batches):
-        from xxhash import xxh3_128_digest
+        """A row for each string group of each text: its anchor and context hash (together 128 bits) and, where the task has not sent them yet, the context and the place."""
+        from xxhash import xxh3_64_intdigest
 
-        seen: set[bytes] = set()
+        sent: set[tuple[int, int]] = set()
+        known: set[bytes] = set()
         for part in _slices(batches):
             h, first, last, data, starts = anchors(part, length, gram)
             maybe = np.flatnonzero(bloom.value.test(h)) if len(h) else np.zeros(0, np.int64)
@@ -155,63 +160,78 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 continue
             raw = data.tobytes()
             of = np.searchsorted(starts, first[maybe], "right") - 1
-            shas = {int(i): hashlib.sha256(part[i]).digest() for i in np.unique(of)}
+            shas = {int(i): hashlib.sha256(part[i]).digest()[:16] for i in np.unique(of)}
+            place = {}
+            for i, x in shas.items():  # equal texts have their places sent once
+                place[i] = None if x in known else struct.unpack(">qq", x)
+                known.add(x)
             keys, contexts = [], []
-            for a, z in zip(first[maybe].tolist(), last[maybe].tolist(), strict=True):
+            for x, a, z in zip(h[maybe].tolist(), first[maybe].tolist(), last[maybe].tolist(), strict=True):
                 c = raw[a : z + length]
-                k = xxh3_128_digest(c)
+                k = xxh3_64_intdigest(c)
                 keys.append(k)
-                contexts.append(None if k in seen else c)
-                seen.add(k)
-            if len(seen) > 200_000:
-                seen.clear()
+                contexts.append(None if (x, k) in sent else c)
+                sent.add((x, k))
+            if len(sent) > 200_000:
+                sent.clear()
+            if len(known) > 200_000:
+                known.clear()
+            places = [place[i] for i in of.tolist()]
             yield pa.RecordBatch.from_pydict({
-                "h": pa.array(h[maybe].view(np.int64)), "key": pa.array(keys, pa.binary()), "context": pa.array(contexts, pa.binary()), "sha": pa.array([shas[i] for i in of.tolist()], pa.binary()),
+                "h": pa.array(h[maybe].view(np.int64)), "key": pa.array(np.array(keys, np.uint64).view(np.int64)), "context": pa.array(contexts, pa.binary()),
+                "s1": pa.array([p and p[0] for p in places], pa.int64()), "s2": pa.array([p and p[1] for p in places], pa.int64()),
                 "at": pa.array(first[maybe] - starts[of]), "windows": pa.array((last - first + 1)[maybe].astype(np.int32)),
             })
 
-    found = texts.mapInArrow(cut, "h long, key binary, context binary, sha binary, at long, windows int")
-    found = written(found)
+    found = written(texts.mapInArrow(cut, "h long, key long, context binary, s1 long, s2 long, at long, windows int"))
     keys = checkpoint(found.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")))
-    many = checkpoint(keys.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1").select("h", F.when(F.col("distinct") > BUCKET, F.ceil(F.col("distinct") / (BUCKET // 2))).otherwise(1).cast("int").alias("blocks")))
-    may_meet = may_have(many, "h")
-    contexts = found.where(F.col("context").isNotNull()).select("h", "key", "context").where(may_meet("h")).groupBy("h", "key").agg(F.first("context").alias("context"))
-    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = contexts.join(many, "h").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = checkpoint(keys.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1"))
+    hot = checkpoint(many.where(F.col("distinct") > BUCKET).select("h", F.ceil(F.col("distinct") / (BUCKET // 2)).cast("int").alias("blocks")))
+    hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
+    mine, blocks = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.coalesce("blocks", F.lit(1)).alias("blocks")
+    contexts = found.where(F.col("context").isNotNull()).select("h", "key", "context").where(may_have(many, "h")("h"))
+    dealt = contexts.join(hot, "h", "left").select("h", "key", "context", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blocks", "key", "context")
 
     def sort(batches):
-        group, keys_, texts_, size = None, [], [], 0
+        group, before, keys_, texts_, size = None, None, [], [], 0
 
         def flush():
             if len(keys_) > 1:
                 runs = [(k, _runs(w)) for k, w in zip(keys_, repeated_windows(texts_, length), strict=True)]
                 runs = [(k, r) for k, r in runs if r]
                 if runs:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in runs], pa.binary()), "runs": pa.array([r for _, r in runs], pa.list_(pa.int32()))})
+                    yield pa.RecordBatch.from_pydict({"h": pa.array([k[0] for k, _ in runs], pa.int64()), "key": pa.array([k[1] for k, _ in runs], pa.int64()), "runs": pa.array([r for _, r in runs], pa.list_(pa.int32()))})
 
         for b in batches:
-            for h, i, j, blocks, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for h, i, j, blocks_, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (h, i, j) != group:  # a split anchor's blocks hold the same contexts, so each is sorted alone
-                    if size >= SORT_CHARS or blocks > 1 or group and group[2] > 0:
+                    if size >= SORT_CHARS or blocks_ > 1 or group and group[2] > 0:
                         yield from flush()
                         keys_, texts_, size = [], [], 0
-                    group = (h, i, j)
-                keys_.append(k)
-                texts_.append(c)
-                size += len(c)
+                    group, before = (h, i, j), None
+                if k != before:  # several tasks may have sent a context
+                    before = k
+                    keys_.append((h, k))
+                    texts_.append(c)
+                    size += len(c)
         yield from flush()
 
     # Sorting costs far more than its bytes tell, so the number of tasks is stated rather than left to be merged by size.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j")
-    partly = ordered.mapInArrow(sort, "key binary, runs array<int>")
-    whole = keys.where("n > 1").select("key", F.array(F.lit(0), F.lit(1 << 30)).alias("runs"))
-    runs = partly.union(whole).groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    places = found.groupBy("sha", "at", "key").agg(F.first("windows").alias("windows"))
-    hits = places.join(checkpoint(runs), "key")
+    ordered = dealt.repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j", "key")
+    partly = ordered.mapInArrow(sort, "h long, key long, runs array<int>")
+    whole = keys.where("n > 1").select("h", "key", F.array(F.lit(0), F.lit(1 << 30)).alias("runs"))
+    runs = checkpoint(partly.union(whole).groupBy("h", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    hits = found.where(F.col("s1").isNotNull()).select("h", "key", "s1", "s2", "at", "windows").join(runs, ["h", "key"])
     ranges = F.transform("runs", lambda x, i: F.col("at") + F.least(x, F.col("windows")) + F.when(i % 2 == 1, length - 1).otherwise(0))
-    return hits.select("sha", ranges.alias("r")).groupBy("sha").agg(F.flatten(F.collect_list("r")).alias("spans"))
+    sha = F.unhex(F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0")))
+    return hits.select("s1", "s2", ranges.alias("r")).groupBy("s1", "s2").agg(F.flatten(F.collect_set("r")).alias("spans")).select(sha.alias("sha"), "spans")
+
+
+def text_key(text):
+    """The first 128 bits of a text's SHA-256, by which its spans are known."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def merge(flat: list[int]) -> list[tuple[int, int]]:
@@ -226,11 +246,11 @@ def merge(flat: list[int]) -> list[tuple[int, int]]:
 
 
 def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH):
-    """A test (on xxhash64 of a text's SHA-256) of which texts may lose bytes, and (sha, n_removed, n_spans, kept_sha256, kept binary) of each distinct text that does."""
+    """A test (on xxhash64 of a text's key) of which texts may lose bytes, and (sha, n_removed, n_spans, kept_sha256, kept binary) of each distinct text that does."""
     own = docs.select(F.encode(text_of(text_col), "UTF-8").alias("text"))
     cuts = checkpoint(spans(own, length))
     may_lose = may_have(cuts.select(F.xxhash64("sha").alias("h")), "h")
-    texts = own.withColumn("sha", F.unhex(F.sha2("text", 256))).where(may_lose(F.xxhash64("sha"))).groupBy("sha").agg(F.first("text").alias("text"))
+    texts = own.withColumn("sha", text_key(F.col("text"))).where(may_lose(F.xxhash64("sha"))).groupBy("sha").agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -257,8 +277,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     text = F.encode(text_of(text_col), "UTF-8")
     base = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("sha"))
-    lost = trimmed(docs, text_col, length)[1].select("sha", "n_removed", "n_spans", "kept_sha256")
-    return base.join(checkpoint(lost), "sha", "left").select(
+    lost = trimmed(docs, text_col, length)[1].select(F.col("sha").alias("id"), "n_removed", "n_spans", "kept_sha256")
+    return base.join(checkpoint(lost), F.substring("sha", 1, 16) == F.col("id"), "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")
     )
 
@@ -270,7 +290,7 @@ def remove(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars",
     """
     sha, kept = fresh(docs, "sha"), fresh(docs, "kept")
     may_lose, lost = trimmed(docs, text_col, length)
-    tagged = docs.withColumn(sha, F.unhex(F.sha2(F.encode(text_of(text_col), "UTF-8"), 256)))
+    tagged = docs.withColumn(sha, text_key(F.encode(text_of(text_col), "UTF-8")))
     lost = lost.select(F.col("sha").alias(sha), F.col("kept").alias(kept))
 
     @F.pandas_udf("string")
