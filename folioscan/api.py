@@ -46,6 +46,8 @@ class Engine:
         store = lambda name: IndexStore(self.spark, f"{self.root}/{name}")
         self.abstracts, self.chunks, self.sources, self.log = store("abstracts"), store("chunks"), store("sources"), store("jobs")
         self._seq = time.time_ns()
+        self.guard = IndexStore(self.spark, self.root)
+        self.recover()
 
     # Helpers
 
@@ -63,6 +65,23 @@ class Engine:
         self.log.save(row if old is None else old.unionByName(row))
         self.log.drop_old()
 
+    def recover(self) -> None:
+        """After a restart: what still runs by the log is orphaned, and a lock that was left is removed."""
+        events = self.log.load()
+        left = [] if events is None else jobs.latest(events).where(F.col("state").isin(*jobs.ACTIVE)).select("job_id", "kind").collect()
+        for r in left:
+            self._event(r.job_id, r.kind, "orphaned")
+        self.guard.unlock()
+
+    def _alone(self, kind: str, work) -> DataFrame:
+        """Run what encodes, unless another such job runs."""
+        if not self.guard.lock():
+            return self.spark.createDataFrame([("encoder busy",)], "skipped string")
+        try:
+            return self._run(kind, work)
+        finally:
+            self.guard.unlock()
+
     def _run(self, kind: str, work) -> DataFrame:
         job = uuid.uuid4().hex
         self._event(job, kind, "running")
@@ -172,7 +191,7 @@ class Engine:
             self.chunks.save(fresh if kind == "full" else incremental.merge_index(old, st, fresh.select(*old.columns)))
             return kind
 
-        return self._run("reindex", work)
+        return self._alone("reindex", work)
 
     def refresh_abstracts(self, new_papers: DataFrame | None = None, full: bool | None = None) -> DataFrame:
         """Take new papers and bring the abstract index up to them; without new papers, encode what is not in the index."""
@@ -188,7 +207,7 @@ class Engine:
             self.papers = new
             return str(said)
 
-        return self._run("refresh", work)
+        return self._alone("refresh", work)
 
     def _jobs(self) -> DataFrame:
         events = self.log.load()

@@ -191,6 +191,19 @@ def _(spark, sf):
     return facets.list_domains(shards.merge(_feeds(spark, sf)))
 
 
+@query("shard_scan", f"WITH {A.PAPERS} SELECT arxiv_id, title, length(abstract) AS n_abstract, 'chemistry' AS domain, len(tags) AS n_tags, CAST(CAST(arxiv_id AS BIGINT) % 2 + 1 AS BIGINT) AS n_authors FROM papers")
+def _(spark, sf):
+    """Write the papers as shard files of 250 records, and load them back."""
+    p = A.papers(spark, sf).withColumn("n", F.col("arxiv_id").cast("long"))
+    tags = F.when(F.size("tags") > 0, F.col("tags"))  # an absent list, where there are none
+    record = F.struct("title", "abstract", tags.alias("tags"), F.slice("authors", 1, (F.col("n") % 2 + 1).cast("int")).alias("authors"), F.lit("x").alias("comment"))
+    shard = p.groupBy(F.floor(F.col("n") / 250).alias("shard")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("arxiv_id", record.alias("r"))))).alias("value"))
+    folder = shared_dir(spark, "shards")
+    shard.repartition(spark.sparkContext.defaultParallelism, "shard").select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    rows = shards.merge(shards.scan(spark, folder, "chemistry", names="part-*"))
+    return rows.select("arxiv_id", "title", F.length("abstract").alias("n_abstract"), "domain", F.size("tags").alias("n_tags"), F.size("authors").cast("long").alias("n_authors"))
+
+
 # Vector search
 
 _QV = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0)"
@@ -390,6 +403,14 @@ def _(spark, sf):
     return extract.cascade([("html", html), ("latex", tex)]).select("arxiv_id", "source", "n_chars")
 
 
+@query("eprint_to_markdown")
+def _(spark, sf):
+    """Documents as plain source packages: each becomes one section."""
+    d = A.load(spark, sf, "documents")
+    tex = F.concat(F.lit("\\documentclass{article}\n\\begin{document}\n\\section{Document "), F.col("doc_id").cast("string"), F.lit("}\n"), "text", F.lit("\n\\end{document}"))
+    return d.select("doc_id", extract.eprint_to_markdown(F.encode(tex, "UTF-8")).alias("markdown"))
+
+
 @query("archive_sizes")
 def _(spark, sf):
     docs = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.lit("html").alias("source"), F.col("text").alias("markdown"))

@@ -42,6 +42,13 @@ class IndexStore:
         context.rename(new, current, array)
         return n
 
+    def lock(self) -> bool:
+        """Take the store for one writer; false if another has it."""
+        return self._fs.createNewFile(self._path(f"{self.root}/_LOCK"))
+
+    def unlock(self) -> None:
+        self._fs.delete(self._path(f"{self.root}/_LOCK"), False)
+
     def drop_old(self, keep: int = 2) -> None:
         """Remove all but the last versions."""
         n = self.version() or 0

@@ -39,13 +39,13 @@ def _glob_exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def scan(spark: SparkSession, folder: str, domain: str, feed: int = 0) -> DataFrame:
+def scan(spark: SparkSession, folder: str, domain: str, feed: int = 0, names: str = "papers-*.json") -> DataFrame:
     """Papers of one folder of shards with (feed, shard, pos), their order of appearance.
 
     A shard's keys are data, so a file is read whole and parsed as a map. A malformed shard gives no rows; a folder
     without shards gives none either.
     """
-    pattern = f"{folder.rstrip('/')}/papers-*.json"
+    pattern = f"{folder.rstrip('/')}/{names}"
     if not _glob_exists(spark, pattern):
         LOG.warning("no shards in %s", folder)
         return spark.createDataFrame([], f"{schema.PAPER}, feed int, shard string, pos int")

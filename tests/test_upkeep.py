@@ -149,6 +149,11 @@ def test_engine(spark, tmp_path):
     assert info.enriched and info.indexed and info.n_chunks == 4
     assert {r.arxiv_id: r.status for r in e.validate_arxiv_ids(["1", "2"]).collect()} == {"1": "cached", "2": "pdf_fallback"}
     assert e.job_list().count() == 4 and "error" in e.job_status("none").columns
+    assert e.guard.lock() and not e.guard.lock() and e.reindex().first().skipped == "encoder busy" and e.refresh_abstracts().first().skipped == "encoder busy"
+    e._event("lost", "fetch", "running")
+    again = Engine(spark, papers, str(tmp_path))
+    assert again.job_status("lost").first().state == "orphaned" and again.guard.lock()
+    again.guard.unlock()
     assert len(VERBS) == 16 and e.call("list_domains").count() == 1
     assert "error" in e.call("_run").columns and "error" in e.call("list_tags", {"bad": 1}).columns and "error" in e.call("search_abstract_text", {"query": "a", "k": 0}).columns
 
