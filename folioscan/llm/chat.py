@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import load, text_of
+from folioscan.llm.common import lean, load, text_of
 from folioscan.llm.tokens import byte_bpe, default_path
 
 SEGMENT_TURNS, SEGMENT_TOKENS, BLOCK_SEGMENTS, BLOCK_TOKENS = 32, 100_000, 1024, 1_000_000
@@ -83,7 +83,7 @@ def segments(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", text_of("role").alias("role"), text_of("text").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, SEGMENT)
+    return ordered.select("conv_id", "role", "text").mapInArrow(lean(run), SEGMENT)
 
 
 def build_trees(block: list[dict]) -> list[dict]:
@@ -150,7 +150,7 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pylist(build_trees(block), schema=kind)
 
     order = ["k1", "k2", "k3", "conv_id", "seg"]
-    return segments(turns, tokenizer).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, TREE)
+    return segments(turns, tokenizer).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(run), TREE)
 
 
 def read_back(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -192,7 +192,7 @@ def read_back(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     out = pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.int32()))])
-    return trees.select("ids", "nodes", "leaves").mapInArrow(run, "conv_id long, seg int, formatted string, loss array<int>")
+    return trees.select("ids", "nodes", "leaves").mapInArrow(lean(run), "conv_id long, seg int, formatted string, loss array<int>")
 
 
 _PARSED = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -238,7 +238,7 @@ def digest(chats: DataFrame) -> DataFrame:
 
     kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     ordered = chats.repartition("conv_id").sortWithinPartitions("conv_id", "seg").select("conv_id", "formatted", "loss")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,35 @@ def may_have(members: DataFrame, column: str) -> Callable[[Column], Column]:
     return test
 
 
+def lean(run):
+    """A function over Arrow batches that gives its memory back when its task ends; workers live on and share an executor."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its own counsel
+                pass
+
+    return tidy
+
+
+def slices(batches, rows: int = 500):
+    """Batches in smaller ones, so that only a few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def text_of(column: str) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

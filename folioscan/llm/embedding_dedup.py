@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import checkpoint, load
+from folioscan.llm.common import checkpoint, lean, load
 from folioscan.llm.graph import components, settle
 
 THRESHOLD = 0.95
@@ -294,7 +294,7 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
                 d = _chord(x, centres.value)
                 yield pa.RecordBatch.from_pydict({"row": b.column(0), "v": b.column(1), "cell": pa.array(d.argmin(axis=1).astype(np.int32)), "d": pa.array(d.min(axis=1))})
 
-    dealt = checkpoint(good.mapInArrow(deal, "row long, v array<double>, cell int, d double"))
+    dealt = checkpoint(good.mapInArrow(lean(deal), "row long, v array<double>, cell int, d double"))
     # A cell with more than BLOCK rows is dealt on by a hash; every part keeps its own tree.
     cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect()  # at most CENTRES rows
     blocks = [(int(c.cell), int(-(-c.n // BLOCK)), float(c.r)) for c in cells]

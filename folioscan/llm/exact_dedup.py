@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import checkpoint, fresh, load, may_have, text_of
+from folioscan.llm.common import checkpoint, fresh, lean, load, may_have, text_of
 
 #: Fingerprints that an owner holds on average.
 OWNER_ROWS = 1_000_000
@@ -80,7 +80,7 @@ def suspects(fingerprints: DataFrame) -> DataFrame:
         maps = [np.packbits(np.isin(x, again, assume_unique=True)).tobytes() for x in lists]
         return pa.table({"sender": table.column("sender"), "owner": table.column("owner"), "bits": pa.array(maps, pa.binary())})
 
-    answers = fingerprints.select("sender", "fp").mapInArrow(send, "owner int, sender int, code binary").groupBy("owner").applyInArrow(own, "sender int, owner int, bits binary")
+    answers = fingerprints.select("sender", "fp").mapInArrow(lean(send), "owner int, sender int, code binary").groupBy("owner").applyInArrow(own, "sender int, owner int, bits binary")
 
     def receive(rows: pa.Table, maps: pa.Table) -> pa.Table:
         fps = rows.column("fp").to_numpy().view(np.uint64)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import load, text_of
+from folioscan.llm.common import lean, load, slices, text_of
 from folioscan.llm.tokens import byte_bpe, default_path
 
 WINDOW, END_ID = 2048, 1
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             yield pa.RecordBatch.from_pydict(made)
 
         arrow_id = None
-        for b in batches:
+        for b in slices(batches):
             arrow_id = b.column(0).type
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if ids:
             yield from flush()
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

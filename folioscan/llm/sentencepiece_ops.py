@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import load, text_of
+from folioscan.llm.common import lean, load, text_of
 
 MARK = "▁"
 #: Words that a worker's cache holds before it starts afresh, and the longest word (characters) that goes there.
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             yield pa.RecordBatch.from_pydict({"doc_id": keys, "ids": pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(ids), "<i4")))})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -220,7 +220,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "text": pa.array(texts, pa.string())})
 
     id_type = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {id_type}, text string")
+    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(lean(run), f"doc_id {id_type}, text string")
 
 
 def _decoded(m: Pieces, lists: pa.ListArray) -> list[str]:
@@ -244,7 +244,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             })
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, ids array<int>, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, ids array<int>, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

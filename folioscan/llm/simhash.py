@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import checkpoint, fresh, load, may_have, text_of
+from folioscan.llm.common import checkpoint, fresh, lean, load, may_have, slices, text_of
 from folioscan.llm.graph import components, settle
 
 RADIUS, SHINGLE, GROUP = 4, 4, 4096
@@ -156,16 +156,16 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, group: int = GROUP) ->
                     yield pa.RecordBatch.from_pydict({"a": pa.array(values[own]), "b": pa.array(values[labels[own]])})
                 at = end
 
-    return groups.select("fps").mapInArrow(run, "a long, b long")
+    return groups.select("fps").mapInArrow(lean(run), "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(np.array([fingerprint(t, size) for t in b.column(1).to_pylist()], np.uint64).view(np.int64))})
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, fp long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import bloom_of, checkpoint, fresh, load, may_have, text_of, written
+from folioscan.llm.common import bloom_of, checkpoint, fresh, lean, load, may_have, slices, text_of, written
 from folioscan.llm.winnow import anchors
 
 LENGTH = 200
@@ -144,7 +144,7 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             h, n = np.unique(anchors(part, length, gram)[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
-    repeated = checkpoint(texts.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    repeated = checkpoint(texts.mapInArrow(lean(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
     bloom = texts.sparkSession.sparkContext.broadcast(bloom_of(repeated, "h"))
 
     def cut(batches):
@@ -183,7 +183,7 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 "at": pa.array(first[maybe] - starts[of]), "windows": pa.array((last - first + 1)[maybe].astype(np.int32)),
             })
 
-    found = written(texts.mapInArrow(cut, "h long, key long, context binary, s1 long, s2 long, at long, windows int"))
+    found = written(texts.mapInArrow(lean(cut), "h long, key long, context binary, s1 long, s2 long, at long, windows int"))
     keys = checkpoint(found.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")))
     many = checkpoint(keys.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1"))
     hot = checkpoint(many.where(F.col("distinct") > BUCKET).select("h", F.ceil(F.col("distinct") / (BUCKET // 2)).cast("int").alias("blocks")))
@@ -220,7 +220,7 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # Sorting costs far more than its bytes tell, so the number of tasks is stated rather than left to be merged by size.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j", "key")
-    partly = ordered.mapInArrow(sort, "h long, key long, runs array<int>")
+    partly = ordered.mapInArrow(lean(sort), "h long, key long, runs array<int>")
     whole = keys.where("n > 1").select("h", "key", F.array(F.lit(0), F.lit(1 << 30)).alias("runs"))
     runs = checkpoint(partly.union(whole).groupBy("h", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")))
     hits = found.where(F.col("s1").isNotNull()).select("h", "key", "s1", "s2", "at", "windows").join(runs, ["h", "key"])
@@ -253,7 +253,7 @@ def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH):
     texts = own.withColumn("sha", text_key(F.col("text"))).where(may_lose(F.xxhash64("sha"))).groupBy("sha").agg(F.first("text").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for sha, text, flat in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 runs, kept, at = merge(flat), [], 0
@@ -265,7 +265,7 @@ def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["sha", "n_removed", "n_spans", "kept_sha256", "kept"]) if rows else b.slice(0, 0)
 
     schema = "sha binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return may_lose, texts.join(cuts, "sha").select("sha", "text", "spans").mapInArrow(run, schema)
+    return may_lose, texts.join(cuts, "sha").select("sha", "text", "spans").mapInArrow(lean(run), schema)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

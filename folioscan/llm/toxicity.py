@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import load, text_of
+from folioscan.llm.common import lean, load, slices, text_of
 
 #: Labelled rows to fit on at most (about; by hash), features kept, rows of a feature at least, sentences for pairs.
 SAMPLE_ROWS, FEATURES, FEATURE_ROWS, PAIR_SENTENCES = 20_000, 600, 5, 2000
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches):
         seen: list[Counter] = [Counter(), Counter()]
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y > 0].update(features(text))
         keys = list({**seen[0], **seen[1]})
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_pydict({"f": pa.array(part, pa.string()), "neg": pa.array([seen[0][k] for k in part], pa.int64()), "pos": pa.array([seen[1][k] for k in part], pa.int64())})
 
-    counts = sample.select("text", "y").mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = sample.select("text", "y").mapInArrow(lean(count), "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     totals = known.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
     odds = F.log((F.col("pos") + 0.5) / (totals[0] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals[1] + 1.0))
     rank = F.abs(odds) * F.sqrt(F.col("pos") + F.col("neg"))
@@ -139,13 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index = {f: i for i, f in enumerate(names)}
 
     def encode(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             found = [sorted(index[f] for f in features(t) & index.keys()) for t in texts]
             first = [next((s.strip()[:400] for s in re.split(r"[.!?\n]+", t) if len(s.split()) > 2), "") for t in texts]
             yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.list_(pa.int32())), "y": batch.column(1).cast(pa.int32()), "s": pa.array(first, pa.string()), "key": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())})
 
-    rows = sorted(sample.select("text", "y").mapInArrow(encode, "x array<int>, y int, s string, key long").collect(), key=lambda r: (r.key, r.y, r.x))
+    rows = sorted(sample.select("text", "y").mapInArrow(lean(encode), "x array<int>, y int, s string, key long").collect(), key=lambda r: (r.key, r.y, r.x))
     if not rows:
         return Model(-5.0, {})
     sentences = [r.s for r in rows if r.s][:PAIR_SENTENCES]
@@ -162,10 +162,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())})
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, score double")
 
 
 def held_out(id_col: str = "doc_id"):
