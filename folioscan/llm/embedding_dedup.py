@@ -248,12 +248,15 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     an empty table gives no rows, labels and other columns are ignored.
     """
     value = F.col(vector_col).cast("array<double>")
-    norm = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x * x)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.monotonically_increasing_id().alias("row"), value.alias("v")).withColumn("norm", norm)
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150))) & (F.col("norm") > 1e-280)
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.monotonically_increasing_id().alias("row"), value.alias("v"))
+    rows = rows.withColumn("top", F.array_max(F.transform("v", F.abs)))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.col("top") > 0)
+    # Squares of very large or small components would leave the range of numbers; a direction has no size.
+    extreme = (F.col("top") > 1e100) | (F.col("top") < 1e-100)
+    rows = rows.withColumn("v", F.when(fine & extreme, F.transform("v", lambda x: x / F.col("top"))).otherwise(F.col("v")))
     rows = checkpoint(rows.select("vec_id", "row", F.when(fine, F.col("v")).alias("v")))
     good = rows.where("v is not null")
-    sizes = [r.n for r in good.select(F.size("v").alias("n")).distinct().limit(64).collect()]
+    sizes = [r.n for r in good.select(F.size("v").alias("n")).distinct().collect()]  # each dimension is an index of its own
     counts, edges = [], []
     for dim in sorted(sizes):
         c, e = _links(good.where(F.size("v") == dim).select("row", "v"), threshold)

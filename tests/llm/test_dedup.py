@@ -235,10 +235,10 @@ def test_tree_pairs():
 def test_embedding_groups(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     x = vectors(1, 200)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0, None] + [0.0] * 6), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (905, []), (906, [1.0, 0.0]), (907, [2.0, 0.0]), (None, x[0].tolist()), (0, x[0].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0, None] + [0.0] * 6), (903, [float("nan")] * 8), (904, [float("inf")] * 8), (905, []), (906, [1.0, 0.0]), (907, [2.0, 0.0]), (908, [1e-300, 0.0]), (909, [1e300, 1e299]), (None, x[0].tolist()), (0, x[0].tolist())]
     d = spark.createDataFrame([(i, v, 1, "n") for i, v in rows], "vec_id long, embedding array<double>, label int, norm string")
     fine = lambda v: v and None not in v and np.isfinite(v).all() and any(v)
-    unit = [embedding_dedup.unit(np.array([v]))[0] if fine(v) else None for _, v in rows]
+    unit = [embedding_dedup.unit(np.array([v]) / max(map(abs, v)))[0] if fine(v) else None for _, v in rows]
     linked = lambda i, j: unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95
     label = near_components(len(rows), linked)
     low = {}
