@@ -19,8 +19,8 @@ def is_stale(modified: float | None, now: float, interval_hours: float) -> bool:
 def refresh_stream(spark: SparkSession, stream: DataFrame, store: IndexStore, make: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "arxiv_id", interval: str | None = None):
     """Start the stream into a versioned index. With an interval it polls for ever, otherwise it takes what is there and ends.
 
-    A batch replaces rows of its keys and adds the others. Version n holds batch n, so a batch that is run again after a
-    failure writes the same rows; the index store has this stream as its only writer.
+    A batch replaces rows of its keys and adds the others, so one that is run again after a failure leaves the same rows;
+    the index store has this stream as its only writer.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
