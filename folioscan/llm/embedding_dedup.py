@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import checkpoint, lean, load
+from folioscan.llm.common import checkpoint, lean, load, may_have
 from folioscan.llm.graph import components, settle
 
 THRESHOLD = 0.95
@@ -70,7 +70,7 @@ class CoverTree:
     Rows are reordered so that every node's members are one run: lo[k][i]:hi[k][i].
     """
 
-    def __init__(self, points: np.ndarray, levels: int = 6):
+    def __init__(self, points: np.ndarray, weights: np.ndarray | None = None, levels: int = 6):
         order, runs = np.arange(len(points)), [(0, len(points))]
         self.radius, self.lo, self.hi, self.kids, chosen_rows = [], [], [], [], []
         reach = 2.0
@@ -104,6 +104,8 @@ class CoverTree:
             split = [bool(r <= SLACK) for r in radius]
         self.order = order
         self.rows = points[order]
+        #: How many equal vectors each row stands for.
+        self.weights = np.ones(len(order), np.int64) if weights is None else weights[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         #: The row, in tree order, that is each node's centre.
@@ -154,9 +156,13 @@ def _spread(lo: np.ndarray, hi: np.ndarray, mate: np.ndarray) -> tuple[np.ndarra
 
 
 def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each row of a and of b (in tree order) to the other block, and linked places (a's row, b's row) that span all of them."""
+    """Links of each row of a and of b (in tree order) to the other block, by weight, and linked places (a's row, b's row) that span all of them.
+
+    With `same`, a block meets itself: each pair counts for both its rows, a row not with itself.
+    """
     most = float(np.sqrt(2 - 2 * threshold))
-    count_a, count_b = np.zeros(len(a.rows) + 1, np.int64), np.zeros(len(b.rows) + 1, np.int64)
+    count_a, count_b, own = np.zeros(len(a.rows) + 1, np.int64), np.zeros(len(b.rows) + 1, np.int64), np.zeros(len(a.rows) + 1, np.int64)
+    sum_a, sum_b = np.concatenate([[0], np.cumsum(a.weights)]), np.concatenate([[0], np.cumsum(b.weights)])
     left, right = [], []
     held: tuple = (None, None)
     # Where a level has hardly more pairs of nodes than the first one, testing the levels above would cost as much and prune less.
@@ -188,17 +194,20 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
             u, v = p[whole], q[whole]
             s0, s1, t0, t1 = a.lo[level][u], a.hi[level][u], b.lo[level][v], b.hi[level][v]
             twice = (u == v) & same
-            np.add.at(count_a, s0, t1 - t0 - twice)
-            np.add.at(count_a, s1, -(t1 - t0 - twice))
-            np.add.at(count_b, t0[~twice], (s1 - s0)[~twice])
-            np.add.at(count_b, t1[~twice], -(s1 - s0)[~twice])
+            of_a, of_b = sum_a[s1] - sum_a[s0], sum_b[t1] - sum_b[t0]
+            np.add.at(count_a, s0, of_b)
+            np.add.at(count_a, s1, -of_b)
+            np.add.at(own, s0[twice], 1)
+            np.add.at(own, s1[twice], -1)
+            np.add.at(count_b, t0[~twice], of_a[~twice])
+            np.add.at(count_b, t1[~twice], -of_a[~twice])
             for x, y in (_spread(s0, s1, t0), _spread(t0, t1, s0)[::-1]):
                 left.append(x)
                 right.append(y)
             new_i.append(p[~whole])
             new_j.append(q[~whole])
         i, j = np.concatenate([*new_i, np.zeros(0, np.int64)]), np.concatenate([*new_j, np.zeros(0, np.int64)])
-    links_a, links_b = np.cumsum(count_a)[:-1], np.cumsum(count_b)[:-1]
+    links_a, links_b = np.cumsum(count_a)[:-1] - np.cumsum(own)[:-1] * a.weights, np.cumsum(count_b)[:-1]
     last = len(a.kids) - 1
     for box, pair in _tiles(a.lo[last][i], a.hi[last][i], b.lo[last][j], b.hi[last][j]):
         if box:
@@ -211,8 +220,8 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
         if same:  # a node with itself gives its pairs both ways round, and each row with itself
             once = p < q
             p, q = p[once], q[once]
-        np.add.at(links_a, p, 1)
-        np.add.at(links_b, q, 1)
+        np.add.at(links_a, p, b.weights[q])
+        np.add.at(links_b, q, a.weights[p])
         left.append(p)
         right.append(q)
     return links_a, links_b, np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
@@ -227,7 +236,7 @@ def _pack(tree: CoverTree, raw: np.ndarray, ids: np.ndarray) -> bytes:
     flat = {f"{name}{k}": x if name == "radius" else x.astype(np.int32) for name in _PARTS for k, x in enumerate(getattr(tree, name))}
     single = raw.astype(np.float32)
     raw = single if (single == raw).all() else raw
-    np.savez(out, rows=raw[tree.order], ids=ids[tree.order], levels=len(tree.kids), **flat)
+    np.savez(out, rows=raw[tree.order], ids=ids[tree.order], weights=tree.weights, levels=len(tree.kids), **flat)
     return out.getvalue()
 
 
@@ -236,7 +245,7 @@ def _unpack(blob: bytes) -> tuple[CoverTree, np.ndarray]:
     tree = CoverTree.__new__(CoverTree)
     for name in _PARTS:
         setattr(tree, name, [x[f"{name}{k}"] if name == "radius" else x[f"{name}{k}"].astype(np.int64) for k in range(int(x["levels"]))])
-    tree.rows = unit(x["rows"])
+    tree.rows, tree.weights = unit(x["rows"]), x["weights"]
     return tree, x["ids"]
 
 
@@ -257,9 +266,14 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     rows = checkpoint(rows.select("vec_id", "row", F.when(fine, F.col("v")).alias("v")))
     good = rows.where("v is not null")
     sizes = [r.n for r in good.select(F.size("v").alias("n")).distinct().collect()]  # each dimension is an index of its own
+    # Equal vectors go through the trees as one row that weighs as many, so copies cost nothing but their count.
+    reps = checkpoint(good.groupBy("v").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    many = checkpoint(reps.where("copies > 1"))
+    maybe = may_have(many.select(F.xxhash64("v").alias("h")), "h")
+    owned = good.where(maybe(F.xxhash64("v"))).select("row", "v").join(many, "v").select("row", "rep", "copies")
     counts, edges = [], []
     for dim in sorted(sizes):
-        c, e = _links(good.where(F.size("v") == dim).select("row", "v"), threshold)
+        c, e = _links(reps.where(F.size("v") == dim).select(F.col("rep").alias("row"), "v", "copies"), threshold)
         counts.append(c)
         edges.append(e)
     if not counts:
@@ -267,16 +281,17 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     n_links, all_edges = counts[0], edges[0]
     for c, e in zip(counts[1:], edges[1:], strict=True):
         n_links, all_edges = n_links.union(c), all_edges.union(e)
-    roots = components(all_edges)
-    joined = rows.select("vec_id", "row").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    lowest = joined.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    return joined.join(checkpoint(lowest), "root").join(n_links, "row", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
+    roots = components(all_edges).withColumnRenamed("node", "rep")
+    of = rows.select("vec_id", "row").join(owned, "row", "left").select("vec_id", F.coalesce("rep", "row").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    joined = checkpoint(of.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    lowest = checkpoint(joined.groupBy("root").agg(F.min("vec_id").alias("component_id")))
+    return joined.join(lowest, "root").join(n_links.withColumnRenamed("row", "rep"), "rep", "left").select(
+        "vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(row, n_links) and edges (a, b) between rows, of vectors of one dimension."""
+    """(row, n_links) and edges (a, b) between rows (row, v, copies), of distinct vectors of one dimension."""
     spark = good.sparkSession
     n = good.count()
     k = max(1, min(CENTRES, -(-n // BLOCK)))
@@ -295,21 +310,22 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
             if b.num_rows:
                 x = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                 d = _chord(x, centres.value)
-                yield pa.RecordBatch.from_pydict({"row": b.column(0), "v": b.column(1), "cell": pa.array(d.argmin(axis=1).astype(np.int32)), "d": pa.array(d.min(axis=1))})
+                yield pa.RecordBatch.from_pydict({"row": b.column(0), "v": b.column(1), "copies": b.column(2), "cell": pa.array(d.argmin(axis=1).astype(np.int32)), "d": pa.array(d.min(axis=1))})
 
-    dealt = checkpoint(good.mapInArrow(lean(deal), "row long, v array<double>, cell int, d double"))
+    dealt = checkpoint(good.mapInArrow(lean(deal), "row long, v array<double>, copies long, cell int, d double"))
     # A cell with more than BLOCK rows is dealt on by a hash; every part keeps its own tree.
     cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect()  # at most CENTRES rows
     blocks = [(int(c.cell), int(-(-c.n // BLOCK)), float(c.r)) for c in cells]
     parts = F.broadcast(spark.createDataFrame([(c, m) for c, m, _ in blocks], "cell int, parts int"))
     block = F.concat_ws("/", F.col("cell").cast("string"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("string"))
-    shelved = dealt.join(parts, "cell").select(block.alias("block"), "row", "v")
+    shelved = dealt.join(parts, "cell").select(block.alias("block"), "row", "v", "copies")
 
     def build(table: pa.Table) -> pa.Table:
         raw = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         ids = table.column("row").to_numpy()
         by = np.argsort(ids)
-        return pa.table({"block": table.column("block").slice(0, 1), "tree": pa.array([_pack(CoverTree(unit(raw[by])), raw[by], ids[by])], pa.binary())})
+        tree = CoverTree(unit(raw[by]), table.column("copies").to_numpy()[by])
+        return pa.table({"block": table.column("block").slice(0, 1), "tree": pa.array([_pack(tree, raw[by], ids[by])], pa.binary())})
 
     trees = checkpoint(shelved.groupBy("block").applyInArrow(build, "block string, tree binary"))
     most = float(np.sqrt(2 - 2 * threshold))
