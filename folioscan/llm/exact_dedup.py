@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import checkpoint, fresh, lean, load, may_have, text_of
+from folioscan.llm.common import checkpoint, fresh, lean, load, may_have, text_of, written
 
 #: Fingerprints that an owner holds on average.
 OWNER_ROWS = 1_000_000
@@ -143,7 +143,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = checkpoint(first)
     repeats = may_have(first.select(F.xxhash64(sha).alias("h")), "h")(F.xxhash64(sha))
     tagged = docs.withColumn(sha, F.unhex(F.sha2(normal(text_col), 256)))
-    doubtful = tagged.where(repeats).join(first, sha, "left").where(F.col(keep).isNull() | F.col(id_col).eqNullSafe(F.col(f"{keep}.id"))).dropDuplicates([sha])
+    # Written before repeated rows are merged, so that a group of many copies is joined in tasks that Spark can split.
+    doubtful = written(tagged.where(repeats).join(first, sha, "left").where(F.col(keep).isNull() | F.col(id_col).eqNullSafe(F.col(f"{keep}.id"))).drop(keep)).dropDuplicates([sha])
     return tagged.where(~repeats).select(*docs.columns).union(doubtful.select(*docs.columns))
 
 
