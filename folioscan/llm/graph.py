@@ -12,17 +12,17 @@ from folioscan.llm.common import checkpoint
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a long, b long); root is the component's smallest node.
 
-    A hub's neighbours are never gathered: their minimum is a partial aggregate, and the join that hands it out is one
-    that Spark splits when a key is skewed. Each round is checkpointed.
+    A hub's neighbours are never gathered: their minimum is a partial aggregate, written before the join that hands it
+    out, which Spark can then split when a key is skewed. Each round is checkpointed.
     """
     e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpoint(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = checkpoint(small.distinct())
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
