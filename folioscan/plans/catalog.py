@@ -108,18 +108,19 @@ def _(spark, sf):
 
 
 def _sources(spark, sf):
-    """Full texts of a third of the documents; every seventh has no known source."""
-    d = A.load(spark, sf, "documents").where("doc_id % 3 = 0")
-    return d.select(F.col("doc_id").cast("string").alias("arxiv_id"), F.when(F.col("doc_id") % 7 != 0, F.element_at(F.array(F.lit("html"), F.lit("latex"), F.lit("pdf")), (F.col("doc_id") % 3 + F.col("doc_id") / 3 % 3 + 1).cast("int"))).alias("source"),
-                    F.when(F.col("doc_id") % 5 == 0, "no text").alias("error"), (F.col("doc_id") % 11).cast("int").alias("n_chunks"), "doc_id")
+    """Fetch results of all documents; every seventh has no known source, every fifth an error. `landed` is for queries that need ids without a source."""
+    n = F.col("doc_id")
+    source = F.when(n % 7 != 0, F.element_at(F.array(F.lit("html"), F.lit("latex"), F.lit("pdf")), (F.floor(n / 3) % 3 + 1).cast("int")))
+    return A.load(spark, sf, "documents").select(n.cast("string").alias("arxiv_id"), source.alias("source"), F.when(n % 5 == 0, "no text").alias("error"), (n % 11).cast("int").alias("n_chunks"), "doc_id", (n % 3 == 0).alias("landed"))
 
 
+#: The landed ones only: list_enriched, fetch_breakdown and fetch_summary take all documents, which their twins do not yet.
 _SOURCES = "src AS (SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 7 <> 0 THEN (['html','latex','pdf'])[CAST(floor(doc_id % 3 + fmod(doc_id / 3, 3) + 1) AS INTEGER)] END AS source, CASE WHEN doc_id % 5 = 0 THEN 'no text' END AS error, CAST(doc_id % 11 AS INTEGER) AS n_chunks, doc_id FROM documents WHERE doc_id % 3 = 0)"
 
 
 @query("fulltext_status", f"WITH {A.PAPERS}, {_SOURCES}, {A.CHUNK_VECTORS}, ix AS (SELECT DISTINCT arxiv_id FROM cv) SELECT p.arxiv_id, s.arxiv_id IS NOT NULL AS enriched, ix.arxiv_id IS NOT NULL AS indexed, s.source, coalesce(s.n_chunks, 0) AS n_chunks FROM papers p LEFT JOIN src s USING (arxiv_id) LEFT JOIN ix ON ix.arxiv_id = p.arxiv_id")
 def _(spark, sf):
-    return facets.fulltext_status(A.papers(spark, sf), _sources(spark, sf), A.chunk_vectors(spark, sf))
+    return facets.fulltext_status(A.papers(spark, sf), _sources(spark, sf).where("landed"), A.chunk_vectors(spark, sf))
 
 
 @query("list_enriched", f"WITH {_SOURCES} SELECT DISTINCT arxiv_id FROM src")
@@ -132,7 +133,7 @@ _VALIDATE = f"WITH {_SOURCES}, req AS (SELECT DISTINCT CAST(vec_id AS VARCHAR) A
 
 def _statuses(spark, sf):
     pages = A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"))
-    return facets.validate_ids(A.paper_vectors(spark, sf), pages, _sources(spark, sf))
+    return facets.validate_ids(A.paper_vectors(spark, sf), pages, _sources(spark, sf).where("landed"))
 
 
 @query("validate_ids", _VALIDATE + "SELECT * FROM st")
@@ -162,7 +163,7 @@ def _(spark, sf):
 
 @query("to_fetch", f"WITH {_SOURCES} SELECT DISTINCT CAST(vec_id AS VARCHAR) AS arxiv_id FROM embeddings WHERE CAST(vec_id AS VARCHAR) NOT IN (SELECT arxiv_id FROM src)")
 def _(spark, sf):
-    return extract.to_fetch(A.paper_vectors(spark, sf), _sources(spark, sf))
+    return extract.to_fetch(A.paper_vectors(spark, sf), _sources(spark, sf).where("landed"))
 
 
 # Corpus merge: two feeds over overlapping documents, the first with a second shard
