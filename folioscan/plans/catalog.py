@@ -396,8 +396,8 @@ def _(spark, sf):
 @query("fulltext_cascade", """WITH h AS (SELECT page_id AS id, html FROM pages WHERE page_id % 2 = 0), t AS (SELECT doc_id AS id, text FROM documents WHERE doc_id < (SELECT count(*) FROM pages))
 SELECT CAST(t.id AS VARCHAR) AS arxiv_id, CASE WHEN t.id % 2 = 0 THEN 'html' ELSE 'latex' END AS source, length(CASE WHEN t.id % 2 = 0 THEN h.html ELSE t.text END) AS n_chars FROM t LEFT JOIN h ON h.id = t.id""")
 def _(spark, sf):
-    """All pages as the first tier, all documents as the second. The SQL twin still knows the even pages and the documents of a page's number only."""
-    html = A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"), F.col("html").alias("markdown"), F.lit(None).cast("string").alias("error"))
+    """Markdown of all pages that are no stubs as the first tier, all documents as the second. The SQL twin still knows the raw HTML of even pages and the documents of a page's number only."""
+    html = extract.html_tier(A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"), "url", "html"))
     tex = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("error"))
     return extract.cascade([("html", html), ("latex", tex)]).select("arxiv_id", "source", "n_chars")
 
