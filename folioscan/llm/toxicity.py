@@ -1,8 +1,8 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic model over words and word beginnings is fitted to labelled documents. From their sentences it also gets
-counterfactual pairs: an identity term in the sentence is swapped for others (a sentence without one gets one inserted),
-and each change of the logit between the two is penalised, so that naming a group moves no score.
+A logistic model over words and word beginnings is fitted to labelled documents. From the first sentence
+of over two words of each, cut to 400 characters, it also gets counterfactual pairs, for PAIR_SENTENCES documents at most: the
+first identity term in the sentence is swapped for others (a sentence without one gets one inserted), and each change of the logit between the two is penalised, so that naming a group moves no score.
 
 Fitting uses a bounded sample (SAMPLE_ROWS labelled documents, chosen by a hash of their id); features and weights are a
 few thousand numbers, which are broadcast. Scoring is one pass over whole texts without a shuffle.
