@@ -1,13 +1,15 @@
 """Chat formatting through a prefix tree.
 
 A turn becomes `<|im_start|>role\\ntext<|im_end|>\\n`; control strings inside a role or text are escaped reversibly (a
-backslash before a backslash, and between `<` and `|`). Conversations that share initial turns share those nodes of a
-tree: sorted by the hash chain of their turns they meet in a block, and each block's trees are emitted depth-first, every
-node's tokens once, with the position its tokens continue from and the intervals of its ancestors in the stream, which are
+backslash before a backslash, and between `<` and `|`). Conversations that share initial turns share those nodes of a tree.
+A node is known by the hash chain of its turns. Sorted by their paths of such keys, conversations lie in depth-first order:
+a turn is new exactly where a path leaves the one before it, so the tree is written by a walk that remembers one path only.
+Every node's tokens are written once, with the position they continue from and the intervals of its ancestors, which are
 all it may attend to. The loss mask covers the assistants' texts.
 
-A block holds at most BLOCK_SEGMENTS segments and a segment at most SEGMENT_TURNS turns, so a first turn or a conversation
-that many rows share is streamed through bounded memory; a tree cut between blocks emits its shared turns once in each.
+The sorted conversations are dealt in ranges to tasks, and each range writes a stream. A branch that goes on in a later
+stream is not written again: that stream starts with references to the ancestors its first conversation has in earlier
+streams (any shared node of the two lies on that path), and a node says to how many of them it attends.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import lean, load, text_of
+from folioscan.llm.common import checkpoint, lean, load, slices, text_of, written
 from folioscan.llm.tokens import byte_bpe, default_path
 
-SEGMENT_TURNS, SEGMENT_TOKENS, BLOCK_SEGMENTS, BLOCK_TOKENS = 32, 100_000, 1024, 1_000_000
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPED = re.compile(r"\\(.)", re.S)
+#: A reference's place in its stream: before all nodes, by depth.
+_BEFORE = 1 << 40
 
 
 def escape(text: str, line: bool = False) -> str:
@@ -37,208 +41,215 @@ def unescape(text: str, line: bool = False) -> str:
     return _ESCAPED.sub(lambda m: "\n" if line and m[1] == "n" else m[1], text)
 
 
-_TURN = "ids binary, head int, body int, key binary, learn boolean"
-SEGMENT = f"conv_id long, seg int, first int, prefix binary, k1 long, k2 long, k3 long, turns array<struct<{_TURN.replace(' ', ':').replace(',:', ',')}>>"
-TREE = "tree binary, prefix binary, ids binary, nodes array<struct<parent:int,start:int,stop:int,position:int,loss_start:int,loss_stop:int,attends:array<int>>>, leaves array<struct<conv_id:bigint,seg:int,node:int>>"
+TURN = "conv_id long, idx int, key binary, position long, head int, body int, learn boolean, ids binary, path array<binary>"
+TREE = (
+    "stream int, seq long, kind string, conv_id long, depth int, key binary, home int, start long, stop long, position long, loss_start long, loss_stop long, "
+    "carried int, attends array<struct<start:bigint,stop:bigint>>, ids binary"
+)
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+_TREE = pa.schema([
+    ("stream", pa.int32()), ("seq", pa.int64()), ("kind", pa.string()), ("conv_id", pa.int64()), ("depth", pa.int32()), ("key", pa.binary()), ("home", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()),
+    ("position", pa.int64()), ("loss_start", pa.int64()), ("loss_stop", pa.int64()), ("carried", pa.int32()), ("attends", _SPAN), ("ids", pa.binary()),
+])
 
 
-def segments(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Runs of up to SEGMENT_TURNS turns of a conversation in their order, tokenised, with the hash chain before and after each turn."""
-    path = tokenizer or default_path()
+def tokenised(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Each turn with its tokens, the position of its first one, and the hash chain up to it; a conversation's last turn has its whole path."""
+    path_ = tokenizer or default_path()
+    kind = pa.schema([("conv_id", pa.int64()), ("idx", pa.int32()), ("key", pa.binary()), ("position", pa.int64()), ("head", pa.int32()), ("body", pa.int32()), ("learn", pa.bool_()), ("ids", pa.binary()), ("path", pa.list_(pa.binary()))])
 
     def run(batches):
-        bpe = byte_bpe(path)
-        head, tail = bpe.encode(START), bpe.encode(END + "\n")
-        conv, open_, chain, seg, first, got, size = None, False, b"", 0, 0, [], 0
+        bpe = byte_bpe(path_)
+        front, tail = bpe.encode(START), bpe.encode(END + "\n")
+        conv, chain, path, position, last = None, b"", [], 0, None
         out: list[dict] = []
-        kind = pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("first", pa.int32()), ("prefix", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("k3", pa.int64()), ("turns", pa.list_(pa.struct([("ids", pa.binary()), ("head", pa.int32()), ("body", pa.int32()), ("key", pa.binary()), ("learn", pa.bool_())])))])
-
-        def close():
-            nonlocal seg, first, got, size
-            if got:
-                keys = [int.from_bytes(t["key"][:8], "little", signed=True) for t in got[:3]] + [0] * 3
-                out.append({"conv_id": conv, "seg": seg, "first": first, "prefix": start, "k1": keys[0], "k2": keys[1], "k3": keys[2], "turns": got})
-                seg, first, got, size = seg + 1, first + size, [], 0
-
-        start = b""
-        for b in batches:
-            for c, role, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not open_ or c != conv:
-                    close()
-                    conv, open_, chain, seg, first, start = c, True, b"", 0, 0, b""
-                if len(got) >= SEGMENT_TURNS or size >= SEGMENT_TOKENS:
-                    close()
-                    start = chain
+        for b in slices(batches):
+            for c, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if last is not None and c != conv:
+                    last["path"], path, chain, position, last = path, [], b"", 0, None
                 r, t = role.encode(), text.encode()
                 chain = hashlib.sha256(b"%s%d:%s%d:%s" % (chain, len(r), r, len(t), t)).digest()[:16]
-                before, body = head + bpe.encode(escape(role, line=True) + "\n"), bpe.encode(escape(text))
-                got.append({"ids": before + body + tail, "head": len(before) // 4, "body": (len(before) + len(body)) // 4, "key": chain, "learn": role == "assistant"})
-                size += len(got[-1]["ids"]) // 4
-            if len(out) >= 256:
-                yield pa.RecordBatch.from_pylist(out, schema=kind)
-                out = []
-        close()
-        if out:
+                before, body = front + bpe.encode(escape(role, line=True) + "\n"), bpe.encode(escape(text))
+                last = {"conv_id": c, "idx": len(path), "key": chain, "position": position, "head": len(before) // 4, "body": (len(before) + len(body)) // 4, "learn": role == "assistant", "ids": before + body + tail, "path": None}
+                out.append(last)
+                conv, position = c, position + len(last["ids"]) // 4
+                path.append(chain)
+            if len(out) > 500:
+                yield pa.RecordBatch.from_pylist(out[:-1], schema=kind)
+                out = out[-1:]
+        if last is not None:
+            last["path"] = path
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", text_of("role").alias("role"), text_of("text").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(lean(run), SEGMENT)
-
-
-def build_trees(block: list[dict]) -> list[dict]:
-    """The prefix trees of a block of segments, each written depth-first."""
-    nodes: list[dict] = []
-    child: dict[tuple[int, bytes, bytes], int] = {}
-    roots: list[int] = []
-    ends: dict[int, list[dict]] = {}
-    for s in block:
-        at, position = -1, s["first"]
-        for t in s["turns"]:
-            key = (at, s["prefix"] if at < 0 else b"", t["key"])
-            if key not in child:
-                child[key] = len(nodes)
-                nodes.append({"turn": t, "up": at, "kids": [], "position": position, "prefix": s["prefix"]})
-                (roots if at < 0 else nodes[at]["kids"]).append(child[key])
-            at = child[key]
-            position += len(t["ids"]) // 4
-        ends.setdefault(at, []).append(s)
-    trees = []
-    for root in roots:
-        ids, rows, leaves, place, where = [], [], [], {}, 0
-        spans: dict[int, list[int]] = {}
-        stack = [root]
-        while stack:
-            i = stack.pop()
-            n = nodes[i]
-            t, up = n["turn"], n["up"]
-            size = len(t["ids"]) // 4
-            above = spans[up] if i != root else []
-            spans[i] = [*above[:-1], where + size] if above and above[-1] == where else [*above, where, where + size]
-            place[i] = len(rows)
-            ids.append(t["ids"])
-            rows.append({"parent": place[up] if i != root else -1, "start": where, "stop": where + size, "position": n["position"], "loss_start": where + t["head"] if t["learn"] else where, "loss_stop": where + t["body"] if t["learn"] else where, "attends": above})
-            leaves += [{"conv_id": s["conv_id"], "seg": s["seg"], "node": place[i]} for s in ends.get(i, [])]
-            where += size
-            stack.extend(reversed(n["kids"]))
-        trees.append({"tree": nodes[root]["turn"]["key"], "prefix": nodes[root]["prefix"], "ids": b"".join(ids), "nodes": rows, "leaves": leaves})
-    return trees
+    return ordered.select("conv_id", "role", "text").mapInArrow(lean(run), TURN)
 
 
-def format_chats(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Trees of all conversations (conv_id, turn, role, text): token ids (little-endian unsigned 32 bits), nodes and leaves.
-
-    A node has its parent's number, its range in the stream, the position of its first token, the range under the loss mask
-    and its ancestors' merged ranges (start, stop, start, ...). A tree whose prefix is not empty continues a segment that
-    ended with that key. Rows of a conversation are ordered by turn (null first), then role and text; null texts and roles
-    are empty, a null conv_id is a conversation of its own, repeated rows are turns of their own, other columns are ignored.
-    """
-    node = pa.struct([(k, pa.int32()) for k in ("parent", "start", "stop", "position", "loss_start", "loss_stop")] + [("attends", pa.list_(pa.int32()))])
-    leaf = pa.struct([("conv_id", pa.int64()), ("seg", pa.int32()), ("node", pa.int32())])
-    kind = pa.schema([("tree", pa.binary()), ("prefix", pa.binary()), ("ids", pa.binary()), ("nodes", pa.list_(node)), ("leaves", pa.list_(leaf))])
+def depth_first(paths: DataFrame) -> DataFrame:
+    """(conv_id, path) in the order of the paths: stream and place there, turns, how many of them the one before shares, and the path where a stream starts or ends."""
+    kind = pa.schema([("conv_id", pa.int64()), ("stream", pa.int32()), ("pos", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("last", pa.bool_()), ("edge", pa.list_(pa.binary()))])
 
     def run(batches):
-        block, size = [], 0
-        for b in batches:
-            for s in b.to_pylist():
-                block.append(s)
-                size += sum(len(t["ids"]) for t in s["turns"]) // 4
-                if len(block) >= BLOCK_SEGMENTS or size >= BLOCK_TOKENS:
-                    yield pa.RecordBatch.from_pylist(build_trees(block), schema=kind)
-                    block, size = [], 0
-        if block:
-            yield pa.RecordBatch.from_pylist(build_trees(block), schema=kind)
+        stream, pos, before, held = TaskContext.get().partitionId(), 0, [], None
+        for b in slices(batches):
+            out = []
+            for c, path in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                shared = next((i for i, (x, y) in enumerate(zip(before, path, strict=False)) if x != y), min(len(before), len(path)))
+                if held is not None:
+                    out.append(held)
+                held = {"conv_id": c, "stream": stream, "pos": pos, "n": len(path), "shared": shared, "last": False, "edge": None if pos else path}
+                before, pos = path, pos + 1
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held | {"last": True, "edge": before}], schema=kind)
+
+    ordered = paths.select("conv_id", "path").repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    return ordered.mapInArrow(lean(run), "conv_id long, stream int, pos long, n int, shared int, last boolean, edge array<binary>")
+
+
+def _carried(order: DataFrame) -> DataFrame:
+    """(stream, keys): the path of a stream's first conversation as far as the last conversation of the stream before it shares it."""
+    streams = sorted(r.stream for r in order.select("stream").distinct().collect())  # one number for each task
+    pairs = order.sparkSession.createDataFrame(list(zip(streams[1:], streams, strict=False)), "stream int, earlier int")
+    firsts, lasts = order.where("pos = 0").select("stream", F.col("edge").alias("path")), order.where("last").select(F.col("stream").alias("earlier"), F.col("edge").alias("left"))
+    both = firsts.join(F.broadcast(pairs), "stream").join(lasts, "earlier")
+    shared = F.expr("coalesce(nullif(array_position(zip_with(left, path, (x, y) -> x <=> y), false), 0) - 1, size(path))").cast("int")
+    return both.select("stream", F.slice("path", F.lit(1), shared).alias("keys"))
+
+
+def _write(batches):
+    """The walk: nodes and leaves of the streams of a task, in order."""
+    now, seq, where, stack, out, size = None, 0, 0, [], [], 0
+    for b in slices(batches, 200):
+        for stream, idx, conv, key, position, head, body, learn, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if stream != now:  # the depth of its first row tells how many ancestors are in earlier streams
+                now, seq, where, stack = stream, 0, 0, [(i + 1, []) for i in range(idx)]
+            del stack[idx:]
+            carried, above = stack[-1] if stack else (0, [])
+            row = {"stream": stream, "seq": seq, "depth": idx, "carried": carried, "attends": [{"start": a, "stop": z} for a, z in above]}
+            if ids is None:
+                row |= {"kind": "leaf", "conv_id": conv}
+            else:
+                stop = where + len(ids) // 4
+                loss = (where + head, where + body) if learn else (where, where)
+                row |= {"kind": "node", "key": key, "start": where, "stop": stop, "position": position, "loss_start": loss[0], "loss_stop": loss[1], "ids": ids}
+                stack.append((carried, [*above[:-1], (above[-1][0], stop)] if above and above[-1][1] == where else [*above, (where, stop)]))
+                where = stop
+                size += len(ids)
+            out.append(row)
+            seq += 1
+            if len(out) >= 500 or size > 4_000_000:
+                yield pa.RecordBatch.from_pylist(out, schema=_TREE)
+                out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_TREE)
 
-    order = ["k1", "k2", "k3", "conv_id", "seg"]
-    return segments(turns, tokenizer).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(run), TREE)
 
+def format_chats(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The prefix tree of all conversations (conv_id, turn, role, text), one row for each node, leaf and reference.
 
-def read_back(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(conv_id, seg, formatted, loss): the text of each conversation's segments, and its ranges under the mask, from the trees alone."""
-    path = tokenizer or default_path()
+    A `node` row has its tokens (ids, little-endian unsigned 32 bits), their range in its stream, the position of the first
+    one, the range under the loss mask, and what it attends to: the first `carried` references of its stream and the
+    intervals `attends` of the stream itself, besides its own tokens so far. A `ref` row stands for a node (depth, home
+    stream, range) that a later stream continues. A `leaf` row ends a conversation; depth is its number of turns. By
+    (stream, seq) a stream is in depth-first order, references first.
 
-    def run(batches):
-        bpe = byte_bpe(path)
-        for b in batches:
-            for t in b.to_pylist():
-                ids = np.frombuffer(t["ids"], "<u4")
-                texts: dict[int, tuple[str, int, int]] = {}
-
-                def text(i, ids=ids, nodes=t["nodes"], texts=texts):
-                    if i not in texts:
-                        n = nodes[i]
-                        a, m, z = (bpe.decode(ids[x:y]) for x, y in ((n["start"], n["loss_start"]), (n["loss_start"], n["loss_stop"]), (n["loss_stop"], n["stop"])))
-                        texts[i] = (a + m + z, len(a), len(a) + len(m))
-                    return texts[i]
-
-                rows = []
-                for leaf in t["leaves"]:
-                    path_, i = [], leaf["node"]
-                    while i >= 0:
-                        path_.append(i)
-                        i = t["nodes"][i]["parent"]
-                    parts, loss, at = [], [], 0
-                    for i in reversed(path_):
-                        s, x, y = text(i)
-                        parts.append(s)
-                        if t["nodes"][i]["loss_stop"] > t["nodes"][i]["loss_start"]:
-                            loss += [at + x, at + y]
-                        at += len(s)
-                    rows.append({"conv_id": leaf["conv_id"], "seg": leaf["seg"], "formatted": "".join(parts), "loss": loss})
-                    if len(rows) >= 256:
-                        yield pa.RecordBatch.from_pylist(rows, schema=out)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=out)
-
-    out = pa.schema([("conv_id", pa.int64()), ("seg", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.int32()))])
-    return trees.select("ids", "nodes", "leaves").mapInArrow(lean(run), "conv_id long, seg int, formatted string, loss array<int>")
-
-
-_PARSED = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.S)
-
-
-def digest(chats: DataFrame) -> DataFrame:
-    """Counts and digests of each conversation, by parsing its formatted text; segments stream through in order."""
+    Rows of a conversation are ordered by turn (null first), then role and text; null texts and roles are empty, the rows
+    with a null conv_id are a conversation of their own, repeated rows are turns of their own, an empty table gives no rows,
+    other columns are ignored. A conversation of any length passes through one task, which holds its keys and one turn.
+    """
+    own = written(tokenised(turns, tokenizer))
+    order = checkpoint(depth_first(own.where("path is not null")))
+    if order.isEmpty():
+        return order.sparkSession.createDataFrame([], TREE)
+    carry = checkpoint(_carried(order))
+    # One row for each task, so broadcasting their lengths is bounded.
+    begin = order.join(F.broadcast(carry.select("stream", F.size("keys").alias("inherited"))), "stream", "left")
+    begin = begin.select(F.col("conv_id").alias("conv"), "stream", "pos", "n", F.when(F.col("pos") == 0, F.coalesce("inherited", F.lit(0))).otherwise(F.col("shared")).alias("first"))
+    fresh = own.join(begin, F.col("conv_id").eqNullSafe(F.col("conv"))).where("idx >= first")
+    columns = ("conv_id", "key", "position", "head", "body", "learn", "ids")
+    leaves = begin.select("stream", "pos", F.col("n").alias("idx"), F.col("conv").alias("conv_id"), *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in columns[1:]))
+    rows = fresh.select("stream", "pos", "idx", *columns).union(leaves)
+    walk = rows.repartitionById(order.agg(F.max("stream")).first()[0] + 1, "stream").sortWithinPartitions("stream", "pos", "idx")
+    nodes = written(walk.select("stream", "idx", *columns).mapInArrow(lean(_write), TREE))
+    wanted = carry.select("stream", F.posexplode("keys").alias("depth", "key"))
+    home = nodes.where("kind = 'node'").select("key", F.col("stream").alias("home"), "start", "stop", "position", "loss_start", "loss_stop")
+    refs = wanted.join(home, "key").withColumns({"kind": F.lit("ref"), "seq": F.col("depth") - F.lit(_BEFORE), "carried": F.col("depth")})
+    return nodes.unionByName(refs, allowMissingColumns=True)
+
+
+_PARSED = re.compile(re.escape(START) + r"(.*?)\n(.*)" + re.escape(END) + r"\n", re.S)
+
+
+def _read(trees: DataFrame, leaf_row, kind: pa.Schema, keep: bool, tokenizer: str | None) -> DataFrame:
+    """Walk the streams again; leaf_row(conv_id, state) makes a row of each conversation from its path's state.
+
+    A state is (turns, SHA-256 of them, characters under the mask, SHA-256 of those, characters, texts with their masked
+    ranges if `keep`). Only the states along one path are held.
+    """
+    path_ = tokenizer or default_path()
 
     def run(batches):
-        conv, open_, out = None, False, []
-        state: list = []
-
-        def close():
-            if open_:
-                n, turns, chars, loss, size = state
-                out.append({"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size})
-
-        for b in batches:
-            for c, text, loss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not open_ or c != conv:
-                    close()
-                    conv, open_, state = c, True, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                at = 0
-                for m in _PARSED.finditer(text):
-                    if m.start() != at:
-                        raise ValueError(f"conversation {c}: unformatted text at {at}")
-                    at = m.end()
-                    state[0] += 1
-                    state[1].update(f"{unescape(m[1], line=True)}\n{unescape(m[2])}\n".encode())
-                if at != len(text):
-                    raise ValueError(f"conversation {c}: unformatted text at {at}")
-                for x, y in zip(loss[::2], loss[1::2], strict=True):
-                    part = unescape(text[x:y])
-                    state[2] += len(part)
-                    state[3].update(part.encode())
-                state[4] += len(text)
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_pylist(out, schema=kind)
-                out = []
-        close()
+        bpe = byte_bpe(path_)
+        now, stack, out = None, [], []
+        for b in slices(batches, 200):
+            for stream, what, conv, depth, home, start, stop, loss_start, loss_stop, carried, attends, ids in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if stream != now:
+                    now, stack = stream, []
+                del stack[depth:]
+                spans = [(s[0], s[1], s[2]) for s in stack]
+                merged: list[list[int]] = []
+                for h, a, z in spans[carried:] if what != "ref" else []:
+                    if h != stream:
+                        raise ValueError(f"stream {stream}: a node attends to a reference without saying so")
+                    if merged and merged[-1][1] == a:
+                        merged[-1][1] = z
+                    else:
+                        merged.append([a, z])
+                if len(stack) != depth or what != "ref" and merged != [[x["start"], x["stop"]] for x in attends]:
+                    raise ValueError(f"stream {stream}: the path and the attended intervals differ")
+                turns, told, chars, learnt, size, texts = stack[-1][3] if stack else (0, hashlib.sha256(), 0, hashlib.sha256(), 0, ())
+                if what == "leaf":
+                    out.append(leaf_row(conv, (turns, told, chars, learnt, size, texts)))
+                    if len(out) >= 500:
+                        yield pa.RecordBatch.from_pylist(out, schema=kind)
+                        out = []
+                    continue
+                tokens = np.frombuffer(ids, "<u4")
+                a, m, z = (bpe.decode(tokens[x - start : y - start]) for x, y in ((start, loss_start), (loss_start, loss_stop), (loss_stop, stop)))
+                turn = _PARSED.fullmatch(a + m + z)
+                if turn is None:
+                    raise ValueError(f"stream {stream}: unformatted text at {start}")
+                told, learnt, part = told.copy(), learnt.copy(), unescape(m)
+                told.update(f"{unescape(turn[1], line=True)}\n{unescape(turn[2])}\n".encode())
+                learnt.update(part.encode())
+                loss = (size + len(a), size + len(a) + len(m)) if loss_stop > loss_start else ()
+                stack.append((stream if home is None else home, start, stop, (turns + 1, told, chars + len(part), learnt, size + len(turn[0]), (*texts, (turn[0], loss)) if keep else ())))
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
+    nodes = trees.where("kind <> 'ref'")
+    bodies = nodes.where("kind = 'node'").select(F.col("stream").alias("home"), "start", "ids")
+    refs = trees.where("kind = 'ref'").drop("ids").join(bodies, ["home", "start"])
+    streams = (trees.agg(F.max("stream")).first()[0] or 0) + 1
+    ordered = nodes.unionByName(refs).repartitionById(streams, "stream").sortWithinPartitions("stream", "seq")
+    types = {pa.int64(): "long", pa.string(): "string"}
+    schema = ", ".join(f"{f.name} {types.get(f.type, 'array<int>')}" for f in kind)
+    return ordered.select("stream", "kind", "conv_id", "depth", "home", "start", "stop", "loss_start", "loss_stop", "carried", "attends", "ids").mapInArrow(lean(run), schema)
+
+
+def read_back(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(conv_id, formatted, loss): each conversation's text and its ranges under the mask (start, stop, flat), from the tree alone."""
+    kind = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.int32()))])
+    return _read(trees, lambda c, s: {"conv_id": c, "formatted": "".join(t for t, _ in s[5]), "loss": [x for _, r in s[5] for x in r]}, kind, True, tokenizer)
+
+
+def digest(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Counts and digests of each conversation, read back from the tree without putting any conversation together."""
     kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    ordered = chats.repartition("conv_id").sortWithinPartitions("conv_id", "seg").select("conv_id", "formatted", "loss")
-    return ordered.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _read(trees, lambda c, s: {"conv_id": c, "n_turns": s[0], "turns_sha256": s[1].hexdigest(), "loss_chars": s[2], "loss_sha256": s[3].hexdigest(), "formatted_chars": s[4]}, kind, False, tokenizer)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +258,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
     )
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return digest(read_back(format_chats(turns)))
+    return digest(format_chats(turns))
 
 
 SQL = r"""

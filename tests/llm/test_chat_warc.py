@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -25,27 +26,75 @@ def expect(rows):
     return len(rows), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
-def run(spark, rows):
-    trees = chat.format_chats(spark.createDataFrame([(*r, "x") for r in rows], TURNS))
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(chat.read_back(trees)).collect()}
-    assert got == {c: expect([r[1:] for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
-    return trees.collect()
+def run(spark, rows, partitions=None):
+    """The tree's rows, after every conversation was read back and every node's attention was held against brute force."""
+    d = spark.createDataFrame([(*r, "x") for r in rows], TURNS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    trees = chat.format_chats(d)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    convs = {c: sorted((r[1:] for r in rows if r[0] == c), key=lambda r: ((r[0] is not None, r[0] or 0), r[1] or "", r[2] or "")) for c in {r[0] for r in rows}}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(trees).collect()}
+    assert got == {c: expect(rs) for c, rs in convs.items()}
+    text = {r.conv_id: r for r in chat.read_back(trees).collect()}
+    for c, rs in convs.items():
+        assert text[c].formatted == "".join(f"{chat.START}{chat.escape(r or '', True)}\n{chat.escape(t or '')}{chat.END}\n" for _, r, t in rs)
+        assert [chat.unescape(text[c].formatted[a:z]) for a, z in zip(text[c].loss[::2], text[c].loss[1::2], strict=True)] == [t for _, r, t in rs if r == "assistant" and t]
+    out = trees.collect()
+    check_attention(out, convs)
+    return out
+
+
+def check_attention(out, convs):
+    """Every prefix of turns is written once; its tokens attend to those of its prefixes, at the positions that follow them."""
+    nodes = {(r.stream, r.start): r for r in out if r.kind == "node"}
+    refs = {}
+    for r in out:
+        if r.kind == "ref":
+            refs.setdefault(r.stream, {})[r.depth] = (r.home, r.start, r.stop)
+    prefixes = {tuple((r or "", t or "") for _, r, t in rs[: k + 1]) for rs in convs.values() for k in range(len(rs))}
+    assert len(nodes) == len(prefixes) and len({r.key for r in nodes.values()}) == len(nodes)
+    flat = lambda r: [x for k in range(r.carried) for x in [refs[r.stream][k]]] + [(r.stream, a.start, a.stop) for a in r.attends]
+
+    def pieces(spans):
+        """The nodes that intervals cover, in order."""
+        found = []
+        for s, a, z in spans:
+            while a < z:
+                found.append(nodes[(s, a)])
+                a = found[-1].stop
+            assert a == z
+        return found
+
+    for r in nodes.values():
+        path = pieces(flat(r))
+        assert len(path) == r.depth and [x.depth for x in path] == list(range(r.depth)) and r.position == sum(x.stop - x.start for x in path)
+        assert len(r.ids) == 4 * (r.stop - r.start)
+        for k, x in enumerate(path):  # an ancestor's own ancestors are the first of the path
+            assert [(y.stream, y.start) for y in pieces(flat(x))] == [(y.stream, y.start) for y in path[:k]]
+    leaves = {r.conv_id: r for r in out if r.kind == "leaf"}
+    assert set(leaves) == set(convs) and all(len(pieces(flat(r))) == r.depth == len(convs[c]) for c, r in leaves.items())
 
 
 def test_chats(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n<|im_start|>"), (2, 0, "user", "hi"), (2, 1, "assistant", "other"), (3, 0, None, None), (4, 1, "a\nb\\", "日本"), (4, None, "assistant", ""), (5, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, "assistant", "y" * 5000)]
-    trees = run(spark, rows)
-    shared = [t for t in trees if len(t.leaves) > 1]
-    assert len(shared) == 1 and len(shared[0].nodes) == 3  # the common first turn once
-    root, a, b = shared[0].nodes
-    assert a.parent == b.parent == 0 and a.attends == b.attends == [root.start, root.stop] and a.position == b.position == root.stop
-    assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
+    run(spark, rows)
+    assert chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0 and chat.digest(chat.format_chats(spark.createDataFrame([], TURNS))).count() == 0
 
 
-def test_long_and_hot_conversations(spark, monkeypatch):
-    monkeypatch.setattr(chat, "SEGMENT_TURNS", 4)
-    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(23)] + [(c, i, ("user", "assistant")[i % 2], "same" if i < 2 else f"{c}") for c in range(10, 40) for i in range(4)]
-    run(spark, rows)
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_long_chats_attend_to_all_their_turns(spark, partitions):
+    long = lambda c, n, at: [(c, i, ("user", "assistant")[i % 2], f"turn {i}" if i < at else f"{c} {i}") for i in range(n)]
+    run(spark, long(1, 100, 100) + long(2, 100, 60) + long(3, 100, 60) + long(4, 61, 100) + long(5, 120, 99) + long(6, 1, 0) + long(7, 100, 100), partitions)
+
+
+def test_a_hot_first_turn_is_written_once(spark):
+    rows = [(c, i, ("user", "assistant")[i % 2], "same first turn" if i == 0 else f"answer {c % 40}" if i == 1 else f"{c}") for c in range(5000) for i in range(3 if c % 5 else 2)]
+    out = run(spark, rows, 9)
+    assert len({r.stream for r in out}) == 9 and sum(r.kind == "node" and r.depth == 0 for r in out) == 1 and any(r.kind == "ref" for r in out)
 
 
 PAGES = "page_id long, url string, html string, n int"
