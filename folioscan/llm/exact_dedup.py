@@ -70,8 +70,9 @@ def suspects(fingerprints: DataFrame) -> DataFrame:
                 own.setdefault(int(s), []).append(fps[who == s])
         for s, parts in own.items():
             cut = _slices(np.unique(np.concatenate(parts)), owners)
-            codes = [golomb_encode(x - np.uint64(i * width), width) for i, x in enumerate(cut)]
-            yield pa.RecordBatch.from_pydict({"owner": pa.array(range(owners), pa.int32()), "sender": pa.array([s] * owners, pa.int32()), "code": pa.array(codes, pa.binary())})
+            some = [i for i, x in enumerate(cut) if len(x)]  # an owner that gets nothing has nothing to answer
+            codes = [golomb_encode(cut[i] - np.uint64(i * width), width) for i in some]
+            yield pa.RecordBatch.from_pydict({"owner": pa.array(some, pa.int32()), "sender": pa.array([s] * len(some), pa.int32()), "code": pa.array(codes, pa.binary())})
 
     def own(table: pa.Table) -> pa.Table:
         lists = [golomb_decode(c) for c in table.column("code").to_pylist()]
