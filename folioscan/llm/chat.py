@@ -28,6 +28,8 @@ from folioscan.llm.tokens import byte_bpe, default_path
 
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPED = re.compile(r"\\(.)", re.S)
+#: Conversations of a stream, about, where there are more than the shuffle has partitions for.
+STREAM_ROWS = 100_000
 #: A reference's place in its stream: before all nodes, by depth.
 _BEFORE = 1 << 40
 
@@ -105,7 +107,9 @@ def depth_first(paths: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_pylist([held | {"last": True, "edge": before}], schema=kind)
 
-    ordered = paths.select("conv_id", "path").repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    # Paths are small beside the tokens they stand for, so the number of streams is stated rather than left to be merged by size.
+    streams = max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-paths.count() // STREAM_ROWS))
+    ordered = paths.select("conv_id", "path").repartitionByRange(streams, "path", "conv_id").sortWithinPartitions("path", "conv_id")
     return ordered.mapInArrow(lean(run), "conv_id long, stream int, pos long, n int, shared int, last boolean, edge array<binary>")
 
 

@@ -32,10 +32,8 @@ def run(spark, rows, partitions=None):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     if partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     trees = chat.format_chats(d)
     spark.conf.set("spark.sql.shuffle.partitions", before)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     convs = {c: sorted((r[1:] for r in rows if r[0] == c), key=lambda r: ((r[0] is not None, r[0] or 0), r[1] or "", r[2] or "")) for c in {r[0] for r in rows}}
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(trees).collect()}
     assert got == {c: expect(rs) for c, rs in convs.items()}
