@@ -116,12 +116,56 @@ def test_near_groups(spark, documents, frame, monkeypatch):
         for (i, _), c in zip(rows, label, strict=True):
             first[c] = min(first.get(c, i), i)
         assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{p:016x}", first[c]) for (i, _), p, c in zip(rows, prints, label, strict=True)}
-    kept = simhash.deduplicate(frame([t for _, t in rows], [i for i, _ in rows]))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(first.values()))
     assert simhash.near_groups(frame(["x"]).where("false")).count() == 0
     assert {r.component_id for r in simhash.near_groups(frame(["q w e r", "q w e r", "q w e r"], [None, 7, 7])).collect()} == {7}
 
 
+def word_sets(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_wide_links():
+    rng = np.random.default_rng(5)
+    words = np.repeat(rng.integers(0, 2**63, (6, 2), dtype=np.uint64), 30, axis=0)
+    for _ in range(30):
+        words ^= np.where(rng.random(words.shape) < 0.5, np.uint64(1) << rng.integers(0, 64, words.shape).astype(np.uint64), np.uint64(0))
+    apart = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(words[i], words[j], strict=True))
+    for edges in ([0, 180], [0, 60, 61, 120, 180]):
+        got = simhash.link_groups(words, np.array(edges), 35)
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            assert [x - a for x in got[a:z]] == near_components(z - a, lambda i, j, a=a: apart(a + i, a + j) <= 35)
+
+
+@pytest.mark.parametrize("group,rows_", [(4096, 1024), (4, 3)])
+def test_similar_groups(documents, frame, monkeypatch, group, rows_):
+    """Against every pair of documents, also with all groups and clusters split into blocks."""
+    monkeypatch.setattr(simhash, "NEAR_ROWS", rows_)
+    random.seed(4)
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(9000, None), (9001, ""), (9002, "one two"), (9003, "One  two"), (9004, "one two three")]
+    long = [f"w{random.randrange(10**6)}" for _ in range(160)]
+    for k in range(40):  # copies of one text with more and more words changed
+        own = list(long)
+        for at in random.sample(range(160), k // 4):
+            own[at] = f"x{k}"
+        rows.append((9100 + k, " ".join(own)))
+    rows += [(9200, "q w e r t y u i"), (9200, "q w e r t y u i"), (None, "q w e r t y u i")]
+    ids, sets = [i for i, _ in rows], [word_sets(t) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+    label = near_components(len(rows), alike)
+    first = {}
+    for i, c in zip(ids, label, strict=True):
+        first[c] = min((x for x in (first.get(c), i) if x is not None), default=None)
+    got = simhash.similar_groups(frame([t for _, t in rows], ids), group=group).collect()
+    linked = {c for c, n in Counter(label).items() if n > 1}
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(((i, first[c]) for i, c in zip(ids, label, strict=True) if c in linked), key=str)
+    if group == 4096:
+        d = frame([t for _, t in rows], ids)
+        kept = simhash.deduplicate(d)
+        assert kept.columns == d.columns and sorted(r.doc_id for r in kept.dropDuplicates(["doc_id"]).collect()) == sorted(set(first.values()))
+        assert simhash.similar_groups(d.where("false")).count() == 0 and simhash.deduplicate(d.where("false")).count() == 0
+
+
 def test_components(spark):
     random.seed(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(200, 260)] + [(random.randrange(300, 400), random.randrange(300, 400)) for _ in range(60)] + [(5, 5)]

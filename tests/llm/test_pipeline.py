@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from folioscan.llm import exact_dedup, packing, simhash, toxicity
+from folioscan.llm import exact_dedup, packing, toxicity
 from folioscan.llm.common import load
 
 
@@ -24,14 +24,17 @@ def test_pipeline_matches_brute_force(spark, documents):
         first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t), i)
     exact = {i: clean[i] for i in first.values()}
     assert seen[1] == exact
-    ids, prints = sorted(exact), {i: simhash.fingerprint(t) for i, t in exact.items()}
-    label = {i: i for i in ids}
+    ids, label = sorted(exact), {i: i for i in exact}
+    sets = {}
+    for i, t in exact.items():
+        words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
     changed = True
     while changed:
         changed = False
         for a in ids:
             for b in ids:
-                if label[a] != label[b] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
                     label[a] = label[b] = min(label[a], label[b])
                     changed = True
     assert seen[2] == {i: exact[i] for i in ids if label[i] == i}
