@@ -2,11 +2,12 @@
 
 Every string of LENGTH bytes chooses an anchor by its bytes alone, so equal strings choose equal anchors at equal places. A
 first pass counts the anchors of all texts; a second one cuts out, for each anchor that repeats, the bytes of the strings
-that chose it (their context). Equal contexts are repeated as a whole. The distinct contexts of an anchor meet in one task,
-which sorts their suffixes by the difference-cover algorithm modulo three: name the sampled triples in sorted order, recurse
+that chose it (their context). Contexts are merged by their bytes; one that occurs twice is repeated as a whole, as its
+suffixes are neighbours in any order. The distinct contexts of an anchor meet in one task, which sorts their suffixes by the difference-cover algorithm modulo three: name the sampled triples in sorted order, recurse
 on the names until they differ, merge the suffixes that were not sampled, and compare the prefixes of neighbours; strings of
 LENGTH bytes are repeated exactly where a neighbour shares them. So the sort is dealt out by anchor and only ever holds
-what may repeat, while no repeated string is lost.
+what may repeat, while no repeated string is lost. One array over all bytes would have its triples and names shuffled at
+every level of the recursion, which is dozens of times the input.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ from folioscan.llm.winnow import anchors
 
 LENGTH = 200
 #: Bytes of text that a pass holds at a time, characters of one suffix array, and contexts of an anchor beyond which it is split.
-SLICE_BYTES, SORT_CHARS, BUCKET = 1_000_000, 400_000, 2048
+SLICE_BYTES, SORT_CHARS, BUCKET = 1_000_000, 400_000, 1024
+#: Distinct contexts of a sorting task, about, and bytes of contexts that a task remembers having sent.
+TASK_CONTEXTS, SENT_BYTES = 20_000, 16_000_000
+#: Bits of a context's hash in the first and any further attempt; a new seed is taken where contexts that differ share one.
+KEY_BITS = (64, 64, 64)
 #: Rows of split anchors that are broadcast at most (20 bytes each); more of them are joined.
 HOT_ROWS = 100_000
 
@@ -120,81 +125,108 @@ def _runs(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist()
 
 
-def _slices(batches):
-    """Texts of (text binary) batches in slices of bounded size."""
+def _slices(batches, length: int, size: int):
+    """Texts of (text binary) batches in slices of bounded size: lists of (number, text, offset, piece).
+
+    A longer text is cut into pieces that overlap by all but one byte of `length`, so every string lies in just one.
+    """
+    part, held, number = [], 0, 0
     for b in batches:
-        part, size = [], 0
         for t in b.column(0):
-            raw = t.as_py()
-            part.append(raw)
-            size += len(raw)
-            if size >= SLICE_BYTES:
-                yield part
-                part, size = [], 0
-        if part:
+            text = memoryview(t.as_buffer())
+            number += 1
+            for at in range(0, max(1, len(text) - length + 1), size):
+                part.append((number, text, at, text[at : at + size + length - 1]))
+                held += len(part[-1][3])
+                if held >= size:
+                    yield part
+                    part, held = [], 0
+        if part:  # the texts are views of the batch
             yield part
+            part, held = [], 0
 
 
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(sha binary of 16 bytes, spans array<long>): byte ranges (start, stop, flat, maybe overlapping) to remove from each distinct text of (text binary) rows; texts without any are left out. Equal rows repeat each other."""
-    gram = 1 << int(np.log2(length * 2 // 3))
+    gram, size, most_sent = 1 << int(np.log2(length * 2 // 3)), SLICE_BYTES, SENT_BYTES
+    spark = texts.sparkSession
 
     def count(batches):
-        for part in _slices(batches):
-            h, n = np.unique(anchors(part, length, gram)[0], return_counts=True)
+        for part in _slices(batches, length, size):
+            h, n = np.unique(anchors([x for _, _, _, x in part], length, gram)[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
     repeated = checkpoint(texts.mapInArrow(lean(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    bloom = texts.sparkSession.sparkContext.broadcast(bloom_of(repeated, "h"))
-
-    def cut(batches):
-        """A row for each string group of each text: its anchor and context hash (together 128 bits) and, where the task has not sent them yet, the context and the place."""
-        from xxhash import xxh3_64_intdigest
-
-        sent: set[tuple[int, int]] = set()
-        known: set[bytes] = set()
-        for part in _slices(batches):
-            h, first, last, data, starts = anchors(part, length, gram)
-            maybe = np.flatnonzero(bloom.value.test(h)) if len(h) else np.zeros(0, np.int64)
-            if not len(maybe):
-                continue
-            raw = data.tobytes()
-            of = np.searchsorted(starts, first[maybe], "right") - 1
-            shas = {int(i): hashlib.sha256(part[i]).digest()[:16] for i in np.unique(of)}
-            place = {}
-            for i, x in shas.items():  # equal texts have their places sent once
-                place[i] = None if x in known else struct.unpack(">qq", x)
-                known.add(x)
-            keys, contexts = [], []
-            for x, a, z in zip(h[maybe].tolist(), first[maybe].tolist(), last[maybe].tolist(), strict=True):
-                c = raw[a : z + length]
-                k = xxh3_64_intdigest(c)
-                keys.append(k)
-                contexts.append(None if (x, k) in sent else c)
-                sent.add((x, k))
-            if len(sent) > 200_000:
-                sent.clear()
-            if len(known) > 200_000:
-                known.clear()
-            places = [place[i] for i in of.tolist()]
-            yield pa.RecordBatch.from_pydict({
-                "h": pa.array(h[maybe].view(np.int64)), "key": pa.array(np.array(keys, np.uint64).view(np.int64)), "context": pa.array(contexts, pa.binary()),
-                "s1": pa.array([p and p[0] for p in places], pa.int64()), "s2": pa.array([p and p[1] for p in places], pa.int64()),
-                "at": pa.array(first[maybe] - starts[of]), "windows": pa.array((last - first + 1)[maybe].astype(np.int32)),
-            })
-
-    found = written(texts.mapInArrow(lean(cut), "h long, key long, context binary, s1 long, s2 long, at long, windows int"))
-    keys = checkpoint(found.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")))
+    bloom = spark.sparkContext.broadcast(bloom_of(repeated, "h"))
+
+    def cut(seed: int, bits: int):
+        """A row for each string group of each text: its anchor and context hash and, where the task has not sent them yet, the context and the place."""
+
+        def run(batches):
+            from xxhash import xxh3_64_intdigest
+
+            mask = (1 << bits) - 1
+            sent: dict[tuple[int, int], bytes] = {}
+            sent_bytes = 0
+            known: dict[bytes, int] = {}
+            for part in _slices(batches, length, size):
+                h, first, last, data, starts = anchors([x for _, _, _, x in part], length, gram)
+                maybe = np.flatnonzero(bloom.value.test(h)) if len(h) else np.zeros(0, np.int64)
+                if not len(maybe):
+                    continue
+                raw = data.tobytes()
+                of = np.searchsorted(starts, first[maybe], "right") - 1
+                place = {}
+                shas: dict[int, bytes] = {}
+                for i in np.unique(of).tolist():  # equal texts have their places sent once
+                    number, text = part[i][:2]
+                    if number not in shas:
+                        shas[number] = hashlib.sha256(text).digest()[:16]
+                    place[i] = struct.unpack(">qq", shas[number]) if known.setdefault(shas[number], number) == number else None
+                keys, contexts = [], []
+                for x, a, z in zip(h[maybe].tolist(), first[maybe].tolist(), last[maybe].tolist(), strict=True):
+                    c = raw[a : z + length]
+                    k = xxh3_64_intdigest(c, seed) & mask
+                    keys.append(k)
+                    if sent.get((x, k)) == c:  # byte by byte; a context that differs under one hash is sent too
+                        contexts.append(None)
+                    else:
+                        contexts.append(c)
+                        sent[(x, k)] = c
+                        sent_bytes += len(c) + 200
+                if sent_bytes > most_sent:
+                    sent.clear()
+                    sent_bytes = 0
+                if len(known) > 200_000:
+                    known = {x: n for x, n in known.items() if n == part[-1][0]}
+                places = [place[i] for i in of.tolist()]
+                offset = np.array([x[2] for x in part], np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "h": pa.array(h[maybe].view(np.int64)), "key": pa.array(np.array(keys, np.uint64).view(np.int64)), "context": pa.array(contexts, pa.binary()),
+                    "s1": pa.array([p and p[0] for p in places], pa.int64()), "s2": pa.array([p and p[1] for p in places], pa.int64()),
+                    "at": pa.array(first[maybe] - starts[of] + offset[of]), "windows": pa.array((last - first + 1)[maybe].astype(np.int32)),
+                })
+
+        return run
+
+    for seed, bits in enumerate(KEY_BITS):
+        found = written(texts.mapInArrow(lean(cut(seed, bits)), "h long, key long, context binary, s1 long, s2 long, at long, windows int"))
+        keys = checkpoint(found.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")))
+        # What tasks sent is merged by its bytes. A hash of more than one context would make two rows here.
+        contexts = written(found.where(F.col("context").isNotNull()).select("h", "key", "context").distinct())
+        if contexts.count() == keys.count():
+            break
+    else:
+        raise ValueError("contexts that differ share a hash under every seed")
     many = checkpoint(keys.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where("distinct > 1"))
     hot = checkpoint(many.where(F.col("distinct") > BUCKET).select("h", F.ceil(F.col("distinct") / (BUCKET // 2)).cast("int").alias("blocks")))
     hot = F.broadcast(hot) if hot.count() <= HOT_ROWS else hot
     mine, blocks = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.coalesce("blocks", F.lit(1)).alias("blocks")
-    contexts = found.where(F.col("context").isNotNull()).select("h", "key", "context").where(may_have(many, "h")("h"))
-    dealt = contexts.join(hot, "h", "left").select("h", "key", "context", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = contexts.where(may_have(many, "h")("h")).join(hot, "h", "left").select("h", "key", "context", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "blocks", "key", "context")
 
     def sort(batches):
-        group, before, keys_, texts_, size = None, None, [], [], 0
+        group, keys_, texts_, size = None, [], [], 0
 
         def flush():
             if len(keys_) > 1:
@@ -209,16 +241,14 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     if size >= SORT_CHARS or blocks_ > 1 or group and group[2] > 0:
                         yield from flush()
                         keys_, texts_, size = [], [], 0
-                    group, before = (h, i, j), None
-                if k != before:  # several tasks may have sent a context
-                    before = k
-                    keys_.append((h, k))
-                    texts_.append(c)
-                    size += len(c)
+                    group = (h, i, j)
+                keys_.append((h, k))
+                texts_.append(c)
+                size += len(c)
         yield from flush()
 
     # Sorting costs far more than its bytes tell, so the number of tasks is stated rather than left to be merged by size.
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(many.agg(F.sum("distinct")).first()[0] or 0) // TASK_CONTEXTS))
     ordered = dealt.repartition(tasks, "h", "i", "j").sortWithinPartitions("h", "i", "j", "key")
     partly = ordered.mapInArrow(lean(sort), "h long, key long, runs array<int>")
     whole = keys.where("n > 1").select("h", "key", F.array(F.lit(0), F.lit(1 << 30)).alias("runs"))

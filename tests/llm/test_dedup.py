@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,9 +221,12 @@ def removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("bucket", [2048, 2])
-def test_repeated_bytes(frame, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,slice_bytes,bits", [(2048, 1_000_000, (64,)), (2, 300, (1, 64))])
+def test_repeated_bytes(frame, monkeypatch, bucket, slice_bytes, bits):
+    """The second run splits every anchor into blocks, cuts all longer texts into pieces, and has contexts that differ share a hash at first."""
     monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(suffix_dedup, "KEY_BITS", bits)
     random.seed(bucket)
     word = lambda: "".join(random.choices("abcdeé\n ", k=random.randrange(2, 7)))
     passage, other = " ".join(word() for _ in range(90)), " ".join(word() for _ in range(70))
@@ -235,6 +239,26 @@ def test_repeated_bytes(frame, monkeypatch, bucket):
     assert suffix_dedup.repeated(frame(["x"]).where("false")).count() == 0
 
 
+def test_colliding_contexts_are_not_taken_for_equal(frame, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "KEY_BITS", (0, 0))
+    rng = random.Random(2)
+    shared = "".join(rng.choices("abcdefgh", k=190))  # shorter than what counts, but with an anchor of its own
+    texts = ["".join(rng.choices("ijklm", k=120)) + shared + "".join(rng.choices("ijklm", k=120)) for _ in range(60)]
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated(frame(texts)).collect()
+    monkeypatch.setattr(suffix_dedup, "KEY_BITS", (0, 64))
+    assert all(r.n_removed == 0 for r in suffix_dedup.repeated(frame(texts)).collect())
+
+
+def test_slices_of_long_texts():
+    text = bytes(range(256)) * 20
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([b"", text, b"short", text[:700]], pa.binary())})
+    parts = [x for part in suffix_dedup._slices([batch], 200, 512) for x in part]
+    assert all(len(x[3]) <= 711 and bytes(x[3]) == bytes(x[1][x[2] : x[2] + len(x[3])]) for x in parts)
+    starts = [(n, at + i) for n, _, at, piece in parts for i in range(len(piece) - 199)]
+    assert len(starts) == len(set(starts)) == len(text) - 199 + 501
+
+
 def test_remove_keeps_rows_and_columns(frame):
     long = "pässage " * 60
     d = frame([long + "one", "two " + long, "clean", None], [1, 2, None, 4])
