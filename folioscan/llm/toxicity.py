@@ -1,17 +1,18 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic model over words and word beginnings is fitted to labelled documents. From the first sentence
-of over two words of each, cut to 400 characters, it also gets counterfactual pairs, for PAIR_SENTENCES documents at most: the
-first identity term in the sentence is swapped for others (a sentence without one gets one inserted), and each change of the logit between the two is penalised, so that naming a group moves no score.
-
-Fitting uses a bounded sample (SAMPLE_ROWS labelled documents, chosen by a hash of their id); features and weights are a
-few thousand numbers, which are broadcast. Scoring is one pass over whole texts without a shuffle.
+A logistic model over words and word beginnings is fitted to labelled documents. Their sentences give counterfactual pairs,
+PAIR_SENTENCES of them at most, those that name a group first: every identity term of a sentence is swapped for another (a
+sentence without one gets one inserted), and each change of the logit between the two is penalised, so that naming a group
+moves no score. NEUTRAL holds short sentences labelled as not toxic that name each group once; they join the pairs, so that
+swaps are there even where no labelled document names a group.
+
+Fitting uses a bounded sample (SAMPLE_ROWS labelled rows, chosen by a hash of id and text); features and weights are a few
+thousand numbers, which are broadcast. Scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import lean, load, slices, text_of
+from folioscan.llm.common import checkpoint, lean, load, slices, text_of, written
 
-#: Labelled rows to fit on at most (about; by hash), features kept, rows of a feature at least, sentences for pairs.
+#: Labelled rows to fit on at most, features kept, rows of a feature at least, sentences for pairs.
 SAMPLE_ROWS, FEATURES, FEATURE_ROWS, PAIR_SENTENCES = 20_000, 600, 5, 2000
 #: Lengths of the word beginnings that are features beside whole words.
 PREFIXES = (3, 4, 5, 6)
@@ -35,7 +36,10 @@ IDENTITY_TERMS = (
     "ausländer flüchtlinge behinderte femmes hommes juifs musulmans chrétiens noirs étrangers réfugiés handicapés mujeres hombres "
     "judíos musulmanes cristianos negros extranjeros refugiados discapacitados"
 ).split()
+#: Neutral sentences about a group.
+NEUTRAL = ("the {} met here today", "many {} live in this town", "I talked with the {} about their work", "this book is about {} and their history")
 _WORD = re.compile(r"\w+")
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def features(text: str) -> set[str]:
@@ -70,20 +74,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -30, 30))))
 
 
-def counterfactual_pairs(sentences: list[str], terms: list[str] = IDENTITY_TERMS, swaps: int = 3) -> list[tuple[str, str]]:
-    """Pairs of sentences that differ in an identity term only. Which terms: by the sentence's position, so that all have their turn."""
-    known = set(terms)
+def sentences(text: str) -> list[str]:
+    """The sentences of over two words, whole."""
+    return [s.strip() for s in _SENTENCE.split(text) if len(s.split()) > 2]
+
+
+def named(sentence: str, terms: frozenset[str] = frozenset(IDENTITY_TERMS)) -> list[int]:
+    """Places of the words that are identity terms."""
+    return [j for j, w in enumerate(sentence.split()) if w.lower().strip(".,;:!?\"'()") in terms]
+
+
+def counterfactual_pairs(chosen: list[str], terms: list[str] = IDENTITY_TERMS, swaps: int = 3) -> list[tuple[str, str]]:
+    """Pairs of sentences that differ in identity terms only, all of a sentence's swapped. Which terms: by the sentence's position, so that all have their turn."""
+    known = frozenset(terms)
     pairs = []
-    for i, s in enumerate(sentences):
-        words = s.split()
-        at = next((j for j, w in enumerate(words) if w.lower().strip(".,;:!?") in known), None)
+    for i, s in enumerate(chosen):
+        words, at = s.split(), named(s, known)
         for j in range(swaps):
-            other = terms[(i * swaps + j) % len(terms)]
-            swapped = [other, *words] if at is None else [*words[:at], other, *words[at + 1 :]]
-            pairs.append((s, " ".join(swapped)))
+            other = lambda k, i=i, j=j: terms[(i * swaps + j + k) % len(terms)]
+            swapped = list(words)
+            for k, place in enumerate(at):
+                swapped[place] = other(k)
+            pairs.append((s, " ".join(swapped if at else [other(0), *words])))
     return pairs
 
 
+def neutral_sentences() -> list[str]:
+    return [NEUTRAL[i % len(NEUTRAL)].format(t) for i, t in enumerate(IDENTITY_TERMS)]
+
+
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int, penalty: float = 5.0, ridge: float = 1e-4, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Logistic loss + ridge + penalty x mean squared change of the logit over the pairs, by Adam on the full batch."""
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -111,13 +130,23 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, penalty: float = 5.0) -> Model:
-    """Fit on the labelled documents. `labels` holds the rows to learn from only; of conflicting labels the largest counts, null labels and ids are left out."""
+    """Fit on the labelled documents. `labels` holds the rows to learn from only; of conflicting labels the largest counts, null labels and ids are left out.
+
+    Rows that repeat an id and text count once, so no id can outgrow the sample.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = checkpoint(known)
     n = known.count()
     if n > sample_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
-    # The sample is bounded by sample_rows, so broadcasting its ids and labels is.
-    sample = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "text", "y")
+    # About sample_rows ids and labels, so broadcasting them is bounded.
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "text", "y").distinct()
+    sample = written(rows.withColumn("key", F.xxhash64("id", "text")))
+    if sample.count() > sample_rows:
+        sample = sample.where(F.col("key") <= F.lit(sample.select("key").orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]))
+    totals = sample.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
+    if not sum(totals):
+        return Model(-5.0, {})
 
     def count(batches):
         seen: list[Counter] = [Counter(), Counter()]
@@ -130,28 +159,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pydict({"f": pa.array(part, pa.string()), "neg": pa.array([seen[0][k] for k in part], pa.int64()), "pos": pa.array([seen[1][k] for k in part], pa.int64())})
 
     counts = sample.select("text", "y").mapInArrow(lean(count), "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    totals = known.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
     odds = F.log((F.col("pos") + 0.5) / (totals[0] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals[1] + 1.0))
     rank = F.abs(odds) * F.sqrt(F.col("pos") + F.col("neg"))
     kept = [r.f for r in counts.where(F.col("pos") + F.col("neg") >= FEATURE_ROWS).orderBy(rank.desc(), "f").limit(FEATURES).select("f").collect()]
-    terms = sorted({f for t in IDENTITY_TERMS for f in features(t)})
-    names = list(dict.fromkeys([*kept, *terms]))
-    index = {f: i for i, f in enumerate(names)}
+    own = sorted({f for t in (*IDENTITY_TERMS, *NEUTRAL) for f in features(t.replace("{}", ""))})
+    index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *own]))}
 
     def encode(batches):
         for batch in slices(batches):
-            texts = batch.column(0).to_pylist()
-            found = [sorted(index[f] for f in features(t) & index.keys()) for t in texts]
-            first = [next((s.strip()[:400] for s in re.split(r"[.!?\n]+", t) if len(s.split()) > 2), "") for t in texts]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.list_(pa.int32())), "y": batch.column(1).cast(pa.int32()), "s": pa.array(first, pa.string()), "key": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())})
+            found = [sorted(index[f] for f in features(t) & index.keys()) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.list_(pa.int32())), "y": batch.column(1).cast(pa.int32()), "key": batch.column(2)})
 
-    rows = sorted(sample.select("text", "y").mapInArrow(lean(encode), "x array<int>, y int, s string, key long").collect(), key=lambda r: (r.key, r.y, r.x))
-    if not rows:
-        return Model(-5.0, {})
-    sentences = [r.s for r in rows if r.s][:PAIR_SENTENCES]
+    def cut(batches):
+        for batch in slices(batches):
+            for t in batch.column(0).to_pylist():
+                found = sentences(t)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(found, pa.string()), "named": pa.array([bool(named(s)) for s in found], pa.bool_())})
+
+    def pair(batches):
+        """The features that each pair's second sentence has beyond the first, and the other way round; one task, at most PAIR_SENTENCES sentences."""
+        first = 0
+        for batch in slices(batches):
+            found = batch.column(0).to_pylist()
+            made = counterfactual_pairs([""] * first + found)[3 * first :] if first else counterfactual_pairs(found)
+            first += len(found)
+            places = [tuple({index[f] for f in features(s) & index.keys()} for s in p) for p in made]
+            yield pa.RecordBatch.from_pydict({"more": pa.array([sorted(b - a) for a, b in places], pa.list_(pa.int32())), "less": pa.array([sorted(a - b) for a, b in places], pa.list_(pa.int32()))})
+
+    rows = sorted(sample.select("text", "y", "key").mapInArrow(lean(encode), "x array<int>, y int, key long").collect(), key=lambda r: (r.key, r.y, r.x))
+    chosen = sample.select("text").mapInArrow(lean(cut), "s string, named boolean").distinct().orderBy(F.desc("named"), F.xxhash64("s"), "s").limit(PAIR_SENTENCES).select("s")
+    moved = [(np.array(r.more, np.int64), np.array(r.less, np.int64)) for r in chosen.mapInArrow(lean(pair), "more array<int>, less array<int>").collect()]
     place = lambda s: np.array(sorted(index[f] for f in features(s) & index.keys()), np.int64)
-    pairs = [(place(a), place(b)) for a, b in counterfactual_pairs(sentences)]
-    bias, w = fit_weights([np.array(r.x, np.int64) for r in rows], np.array([r.y > 0 for r in rows]), pairs, len(names), penalty)
+    neutral = [(place(a), place(b)) for a, b in counterfactual_pairs(neutral_sentences())]
+    bias, w = fit_weights([np.array(r.x, np.int64) for r in rows], np.array([r.y > 0 for r in rows]), neutral + [(less, more) for more, less in moved], len(index), penalty)
     return Model(bias, {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6})
 
 
