@@ -5,7 +5,9 @@ are dealt to the nearest of a bounded number of centres and on to blocks of at m
 cover tree, once: nested levels of nodes whose radii halve, every node with the true distance to its farthest member. Pairs
 of blocks, and then pairs of nodes level by level, are dropped when the distance of their centres exceeds the threshold by
 more than both covering radii; a pair of nodes whose members all lie within it is taken whole. What remains is compared
-vector by vector in double precision. A pair of blocks hands on counts and a spanning forest, never its pairs of vectors.
+vector by vector in double precision. Blocks that lie near each other form groups, and a task meets all pairs of blocks of
+two groups: a tree is sent once for each group, not once for each block, and counts and a spanning forest are handed on,
+never pairs of vectors.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from folioscan.llm.common import checkpoint, lean, load, may_have
 from folioscan.llm.graph import components, settle
 
 THRESHOLD = 0.95
-#: Rows of a block, and centres at most (a sample of 4 x as many rows is fetched for them).
-BLOCK, CENTRES = 4096, 256
+#: Rows of a block, centres at most (a sample of 4 x as many rows is fetched for them), and bytes of a group of blocks.
+BLOCK, CENTRES, GROUP_BYTES = 4096, 4096, 64_000_000
+#: Groups up to which the pairs of groups that are too far apart are left out before trees are sent.
+PRUNED_GROUPS = 256
 #: Nodes of one block that are compared with a run of another's at a time: their products stay in a core's cache.
 TILE = 256
 #: Guard of the bounds against rounding; pairs inside it are compared exactly.
@@ -296,8 +300,8 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     n = good.count()
     k = max(1, min(CENTRES, -(-n // BLOCK)))
     wanted = 4 * k
-    sample = good.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(1.0, 4 * wanted / max(1, n)) * (1 << 30))).orderBy(F.xxhash64("row")).limit(wanted).select("v").collect()
-    points = unit(np.array([r.v for r in sample])) if sample else unit(np.array([good.first().v]))
+    sample = good.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(1.0, 4 * wanted / max(1, n)) * (1 << 30))).orderBy(F.xxhash64("row")).limit(wanted).select("v").toArrow().column("v").combine_chunks()
+    points = unit(sample.flatten().to_numpy().reshape(len(sample), -1)) if len(sample) else unit(np.array([good.first().v]))
     chosen = [0]
     far = _chord(points, points[:1])[:, 0]
     while len(chosen) < k and far.max() > SLACK:  # farthest first
@@ -313,12 +317,17 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_pydict({"row": b.column(0), "v": b.column(1), "copies": b.column(2), "cell": pa.array(d.argmin(axis=1).astype(np.int32)), "d": pa.array(d.min(axis=1))})
 
     dealt = checkpoint(good.mapInArrow(lean(deal), "row long, v array<double>, copies long, cell int, d double"))
-    # A cell with more than BLOCK rows is dealt on by a hash; every part keeps its own tree.
-    cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect()  # at most CENTRES rows
-    blocks = [(int(c.cell), int(-(-c.n // BLOCK)), float(c.r)) for c in cells]
-    parts = F.broadcast(spark.createDataFrame([(c, m) for c, m, _ in blocks], "cell int, parts int"))
-    block = F.concat_ws("/", F.col("cell").cast("string"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("string"))
-    shelved = dealt.join(parts, "cell").select(block.alias("block"), "row", "v", "copies")
+    # A cell with more than BLOCK rows is dealt on by a hash; every part keeps its own tree. Cells are numbered so that
+    # neighbours follow each other: by the nearest of the first centres, which lie far apart.
+    cells = sorted(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect(), key=lambda c: c.cell)  # at most CENTRES rows
+    centre = points[chosen][[c.cell for c in cells]]
+    pivots = _chord(centre, points[chosen[: max(1, int(np.sqrt(len(chosen))))]])
+    order = np.lexsort((pivots.min(axis=1), pivots.argmin(axis=1)))
+    cells, centre = [cells[i] for i in order], centre[order]
+    parts = np.array([-(-c.n // BLOCK) for c in cells])
+    first = np.cumsum(parts) - parts
+    shelves = F.broadcast(spark.createDataFrame([(int(c.cell), int(m), int(f)) for c, m, f in zip(cells, parts, first, strict=True)], "cell int, parts int, first int"))
+    shelved = dealt.join(shelves, "cell").select((F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int").alias("block"), "row", "v", "copies")
 
     def build(table: pa.Table) -> pa.Table:
         raw = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
@@ -327,34 +336,45 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         tree = CoverTree(unit(raw[by]), table.column("copies").to_numpy()[by])
         return pa.table({"block": table.column("block").slice(0, 1), "tree": pa.array([_pack(tree, raw[by], ids[by])], pa.binary())})
 
-    trees = checkpoint(shelved.groupBy("block").applyInArrow(build, "block string, tree binary"))
+    trees = checkpoint(shelved.groupBy("block").applyInArrow(build, "block int, tree binary"))
     most = float(np.sqrt(2 - 2 * threshold))
-    place = {c: points[chosen[c]] for c, _, _ in blocks}
-    near = [(a, b) for a, _, ra in blocks for b, _, rb in blocks if a <= b and _chord(place[a][None], place[b][None])[0, 0] <= most + ra + rb + SLACK]
-    by_cell = spark.createDataFrame(near, "ca int, cb int").join(parts.withColumnsRenamed({"cell": "ca", "parts": "pa"}), "ca").join(parts.withColumnsRenamed({"cell": "cb", "parts": "pb"}), "cb")
-    names = by_cell.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("pa") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("pb") - 1))).where("ca < cb or x <= y")
-    name = lambda c, i: F.concat_ws("/", F.col(c).cast("string"), F.col(i).cast("string"))
-    pairs = names.select(name("ca", "x").alias("a"), name("cb", "y").alias("b"))
-    met = pairs.withColumn("block", F.explode(F.array_distinct(F.array("a", "b")))).join(trees, "block")
+    total, tasks = int(parts.sum()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Enough pairs of groups for the cluster's tasks, or more where the trees of a group would not fit in memory.
+    size = min(max(1, -(-total // int(np.ceil(np.sqrt(2 * tasks))))), max(1, GROUP_BYTES // (8 * BLOCK * points.shape[1])))
+    groups = -(-total // size)
+    own = trees.withColumn("own", F.floor(F.col("block") / size).cast("int"))
+    if groups <= PRUNED_GROUPS:
+        radius = np.array([c.r for c in cells])
+        near = _chord(centre, centre) <= most + radius[:, None] + radius[None, :] + SLACK
+        span = [(int(np.searchsorted(first, g * size, "right")) - 1, int(np.searchsorted(first, min(total, (g + 1) * size), "left"))) for g in range(groups)]
+        wanted_tiles = [(i, j) for i in range(groups) for j in range(i, groups) if near[span[i][0] : span[i][1], span[j][0] : span[j][1]].any()]
+        tiles = spark.createDataFrame(wanted_tiles, "i int, j int")  # at most PRUNED_GROUPS squared
+        met = own.join(F.broadcast(tiles.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))), "own")
+    else:
+        met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
     def meet(table: pa.Table) -> pa.Table:
-        blob = dict(zip(table.column("block").to_pylist(), table.column("tree").to_pylist(), strict=True))
-        first, second = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        if first not in blob or second not in blob:  # a shelf that no row fell on
-            return pa.table({"row": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        (a, ids_a) = _unpack(blob[first])
-        (b, ids_b) = (a, ids_a) if first == second else _unpack(blob[second])
-        na, nb, left, right = pairs_within(a, b, threshold, first == second)
-        if first == second:
-            ids, n = ids_a, na + nb
-        else:
-            ids, n, right = np.concatenate([ids_a, ids_b]), np.concatenate([na, nb]), right + len(ids_a)
-        labels = np.arange(len(ids))
-        settle(labels, left, right)
+        by = sorted(zip(table.column("block").to_pylist(), table.column("own").to_pylist(), range(table.num_rows)))
+        blobs = table.column("tree")
+        held = [(side, *_unpack(blobs[k].as_py())) for _, side, k in by]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids = np.concatenate([x for _, _, x in held])
+        at = np.cumsum([0, *(len(x) for _, _, x in held)])
+        n, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for p, (side_a, a, _) in enumerate(held):
+            for q in range(p, len(held)):
+                side_b, b, _ = held[q]
+                apart = np.sqrt(max(0.0, 2 - 2 * float(a.centre(0, [0])[0] @ b.centre(0, [0])[0])))
+                if (side_a, side_b) != (i, j) or apart > most + a.radius[0][0] + b.radius[0][0] + SLACK:
+                    continue
+                na, nb, left, right = pairs_within(a, b, threshold, p == q)
+                n[at[p] : at[p + 1]] += na
+                n[at[q] : at[q + 1]] += nb
+                settle(labels, at[p] + left, at[q] + right)
         linked = np.flatnonzero(n > 0)
-        return pa.table({"row": pa.array(ids[linked]), "n": pa.array(n[linked].astype(np.int64)), "root": pa.array(ids[labels[linked]])})
+        return pa.table({"row": pa.array(ids[linked]), "n": pa.array(n[linked]), "root": pa.array(ids[labels[linked]])})
 
-    found = checkpoint(met.groupBy("a", "b").applyInArrow(meet, "row long, n long, root long"))
+    found = checkpoint(met.groupBy("i", "j").applyInArrow(meet, "row long, n long, root long"))
     return found.groupBy("row").agg(F.sum("n").alias("n_links")), found.select(F.col("row").alias("a"), F.col("root").alias("b"))
 
 
