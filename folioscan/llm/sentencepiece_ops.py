@@ -16,10 +16,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import lean, load, text_of
+from folioscan.llm.common import lean, load, slices, text_of
 
 MARK = "▁"
 #: Words that a worker's cache holds before it starts afresh, and the longest word (characters) that goes there.
@@ -175,16 +176,13 @@ def pieces(path: str) -> Pieces:
 
 
 def _sliced(batches, rows: int = 500, size: int = 4_000_000):
-    """Runs of rows of a batch, up to so many rows or characters."""
-    for b in batches:
-        keys, texts = b.column(0), b.column(1).to_pylist()
+    """Runs of rows of a batch, up to so many rows or characters; only their texts are Python objects."""
+    for b in slices(batches, rows):
+        bytes_ = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()
         at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and end - at < rows and (end == at or chars + len(texts[end]) <= size):
-                chars += len(texts[end])
-                end += 1
-            yield keys.slice(at, end - at), texts[at:end]
+        while at < b.num_rows:
+            end = at + max(1, int(np.searchsorted(np.cumsum(bytes_[at:]), size, "right")))
+            yield b.column(0).slice(at, end - at), b.column(1).slice(at, end - at).to_pylist()
             at = end
 
 

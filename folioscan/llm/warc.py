@@ -2,8 +2,9 @@
 
 Records lie in volumes of at most VOLUME_RECORDS, each with its offset there. A leaf hashes a record's bytes together with
 its offset range; a node hashes its children's hashes and the range they span, FANOUT to a node, up to the volume's root;
-the volumes' roots go on into one corpus tree. An audit compares the roots of two replicas and joins down only below nodes
-that differ, so an intact branch is never read. All of it is DataFrame operations; no group has more than VOLUME_RECORDS rows.
+the volumes' roots go on into one corpus tree. An audit compares the roots of two replicas and goes down below nodes that
+differ only: a level's nodes pass a semi-join with their differing parents before any hashes are compared. A level is a flat
+table, so the rows of intact branches are still scanned for that test, at 100 bytes or so each; records are not. All of it is DataFrame operations; no group has more than VOLUME_RECORDS rows.
 """
 
 from __future__ import annotations
