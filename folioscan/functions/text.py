@@ -23,6 +23,7 @@ JUNK_SECTION = (
     r"^(?:(?:s?[0-9]+(?:\.[0-9]+)*\.?|[ivxlcdm]+\.?|[a-z]\.)\s+)?(?:references?|acknowledge?ments?|bibliography|data availability|author contributions?"
     r"|funding|(?:competing|conflicts?) (?:of )?interests?|supplementary (?:material|information)|appendix [a-z])$"
 )
+#: Fixed value: the numbering that headings lose.
 NUMBERING = r"^(?:appendix\s+[a-z]+\s+|[0-9]+\.?\s+|[ivxlcdm]+\.?\s+|[a-z]\.\s+)"
 
 

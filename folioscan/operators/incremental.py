@@ -49,13 +49,13 @@ def refresh_strategy(diff: DataFrame, *, full: bool, has_index: bool) -> tuple[s
 
 
 def refresh(old: DataFrame, new: DataFrame, index: DataFrame | None, encode, full: bool = False) -> tuple[DataFrame | None, dict]:
-    """The next vector index (arxiv_id, embedding) and a summary. An edited abstract keeps its vector unless everything is encoded."""
+    """The next vector index (arxiv_id, embedding) and a summary. An edited abstract keeps its vector unless everything is encoded; then rows are sorted by id."""
     diff = diff_ids(old, new)
     kind, added, deleted = refresh_strategy(diff, full=full, has_index=index is not None)
     if kind == "noop":
         out = index
     elif kind == "full":
-        out = encode(new)
+        out = encode(new).repartitionByRange("arxiv_id").sortWithinPartitions("arxiv_id")
     else:
         out = index.unionByName(encode(new.join(diff.where("change = 'added'").select("arxiv_id"), "arxiv_id", "left_semi")))
     return out, {"strategy": kind, "added": added, "deleted": deleted}

@@ -95,10 +95,17 @@ def search_chunks_semantic(chunks: DataFrame, vectors: DataFrame, query: list[fl
 
 
 def mean_vectors(vectors: DataFrame, id_col: str = "arxiv_id") -> DataFrame:
-    """(id, embedding): the component-wise mean of each id's vectors, as partial aggregates of single components."""
-    parts = vectors.select(id_col, F.posexplode("embedding").alias("i", "x")).groupBy(id_col, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    return parts.groupBy(id_col).agg(F.transform(ordered, lambda e: e["x"]).alias("embedding"))
+    """(id, embedding): the component-wise mean of each id's vectors, one partial aggregate for each component of the first vector."""
+    row = vectors.select(F.size("embedding").alias("n")).where("n > 0").first()
+    if row is None:
+        return vectors.select(id_col, F.array().cast("array<double>").alias("embedding")).where(F.lit(False))
+    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(row.n)]
+    return vectors.groupBy(id_col).agg(*means).select(id_col, F.array(*(F.col(f"m{i}") for i in range(row.n))).alias("embedding"))
+
+
+def first_rows(chunks: DataFrame, id_col: str = "arxiv_id", order: str = "row") -> DataFrame:
+    """(id, row): where each paper's first chunk stands."""
+    return chunks.groupBy(id_col).agg(F.min(order).alias(order))
 
 
 def similar_to_paper(chunks: DataFrame, id_: str, k: int = 10) -> DataFrame:
@@ -111,8 +118,15 @@ def similar_to_paper(chunks: DataFrame, id_: str, k: int = 10) -> DataFrame:
     return best.orderBy(F.desc("score"), "arxiv_id").limit(k).select("arxiv_id", "section", F.round("score", 4).alias("score"))
 
 
-def rerank(hits: DataFrame, query: str, scorer, k: int = 10) -> DataFrame:
-    """The k hits (arxiv_id, title, abstract, ..) that a scorer likes best. scorer: (query, list of texts) -> list of numbers; it is not called without rows."""
+#: Candidates that a scorer gets at most.
+RERANK = 50
+
+
+def rerank(hits: DataFrame, query: str, scorer, k: int = 10, most: int = RERANK) -> DataFrame:
+    """Of the `most` best hits (arxiv_id, title, abstract, ..; by their score, if they have one) the k that a scorer likes best. scorer: (query, list of texts) -> list of numbers; it is not called without rows."""
+    best = [F.desc("score")] if "score" in hits.columns else []
+    hits = hits.orderBy(*best, "arxiv_id").limit(most)
+
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(list(map(float, scorer(query, text.tolist()))) if len(text) else [], dtype="float64")

@@ -38,7 +38,10 @@ def flat(df: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscan-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    root = root or tempfile.mkdtemp(prefix="folioscan-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -108,19 +111,28 @@ def _(spark, sf):
 
 
 def _sources(spark, sf):
-    """Fetch results of all documents; every seventh has no known source, every fifth an error. `landed` is for queries that need ids without a source."""
+    """Fetch results of all documents; every seventh has no known source, every fifth an error."""
     n = F.col("doc_id")
     source = F.when(n % 7 != 0, F.element_at(F.array(F.lit("html"), F.lit("latex"), F.lit("pdf")), (F.floor(n / 3) % 3 + 1).cast("int")))
-    return A.load(spark, sf, "documents").select(n.cast("string").alias("arxiv_id"), source.alias("source"), F.when(n % 5 == 0, "no text").alias("error"), (n % 11).cast("int").alias("n_chunks"), "doc_id", (n % 3 == 0).alias("landed"))
+    return A.load(spark, sf, "documents").select(n.cast("string").alias("arxiv_id"), source.alias("source"), F.when(n % 5 == 0, "no text").alias("error"), (n % 11).cast("int").alias("n_chunks"), "doc_id")
 
 
-#: The landed ones only: list_enriched, fetch_breakdown and fetch_summary take all documents, which their twins do not yet.
-_SOURCES = "src AS (SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 7 <> 0 THEN (['html','latex','pdf'])[CAST(floor(doc_id % 3 + fmod(doc_id / 3, 3) + 1) AS INTEGER)] END AS source, CASE WHEN doc_id % 5 = 0 THEN 'no text' END AS error, CAST(doc_id % 11 AS INTEGER) AS n_chunks, doc_id FROM documents WHERE doc_id % 3 = 0)"
+_SOURCES = "src AS (SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 7 <> 0 THEN (['html','latex','pdf'])[(doc_id // 3) % 3 + 1] END AS source, CASE WHEN doc_id % 5 = 0 THEN 'no text' END AS error, CAST(doc_id % 11 AS INTEGER) AS n_chunks, doc_id FROM documents)"
 
 
-@query("fulltext_status", f"WITH {A.PAPERS}, {_SOURCES}, {A.CHUNK_VECTORS}, ix AS (SELECT DISTINCT arxiv_id FROM cv) SELECT p.arxiv_id, s.arxiv_id IS NOT NULL AS enriched, ix.arxiv_id IS NOT NULL AS indexed, s.source, coalesce(s.n_chunks, 0) AS n_chunks FROM papers p LEFT JOIN src s USING (arxiv_id) LEFT JOIN ix ON ix.arxiv_id = p.arxiv_id")
+def _landed(spark, sf):
+    """All pages as the full texts that are there; documents without a page have none yet."""
+    n = F.col("page_id")
+    source = F.element_at(F.array(F.lit("html"), F.lit("latex"), F.lit("pdf")), (n % 3 + 1).cast("int"))
+    return A.load(spark, sf, "pages").select(n.cast("string").alias("arxiv_id"), source.alias("source"), (n % 11).cast("int").alias("n_chunks"))
+
+
+_LANDED = "landed AS (SELECT CAST(page_id AS VARCHAR) AS arxiv_id, (['html','latex','pdf'])[page_id % 3 + 1] AS source, CAST(page_id % 11 AS INTEGER) AS n_chunks FROM pages)"
+
+
+@query("fulltext_status", f"WITH {A.PAPERS}, {_LANDED}, {A.CHUNK_VECTORS}, ix AS (SELECT DISTINCT arxiv_id FROM cv) SELECT p.arxiv_id, s.arxiv_id IS NOT NULL AS enriched, ix.arxiv_id IS NOT NULL AS indexed, s.source, coalesce(s.n_chunks, 0) AS n_chunks FROM papers p LEFT JOIN landed s USING (arxiv_id) LEFT JOIN ix ON ix.arxiv_id = p.arxiv_id")
 def _(spark, sf):
-    return facets.fulltext_status(A.papers(spark, sf), _sources(spark, sf).where("landed"), A.chunk_vectors(spark, sf))
+    return facets.fulltext_status(A.papers(spark, sf), _landed(spark, sf), A.chunk_vectors(spark, sf))
 
 
 @query("list_enriched", f"WITH {_SOURCES} SELECT DISTINCT arxiv_id FROM src")
@@ -128,12 +140,12 @@ def _(spark, sf):
     return facets.list_enriched(_sources(spark, sf))
 
 
-_VALIDATE = f"WITH {_SOURCES}, req AS (SELECT DISTINCT CAST(vec_id AS VARCHAR) AS arxiv_id FROM embeddings), av AS (SELECT CAST(page_id AS VARCHAR) AS arxiv_id FROM pages), st AS (SELECT arxiv_id, CASE WHEN arxiv_id IN (SELECT arxiv_id FROM src) THEN 'cached' WHEN arxiv_id IN (SELECT arxiv_id FROM av) THEN 'ok' ELSE 'pdf_fallback' END AS status FROM req) "
+_VALIDATE = f"WITH req AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS arxiv_id FROM documents), av AS (SELECT CAST(page_id AS VARCHAR) AS arxiv_id FROM pages), ca AS (SELECT CAST(vec_id AS VARCHAR) AS arxiv_id FROM embeddings), st AS (SELECT arxiv_id, CASE WHEN arxiv_id IN (SELECT arxiv_id FROM ca) THEN 'cached' WHEN arxiv_id IN (SELECT arxiv_id FROM av) THEN 'ok' ELSE 'pdf_fallback' END AS status FROM req) "
 
 
 def _statuses(spark, sf):
-    pages = A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"))
-    return facets.validate_ids(A.paper_vectors(spark, sf), pages, _sources(spark, sf).where("landed"))
+    """All documents are asked for, those with a page have a rendering, those with a vector are cached."""
+    return facets.validate_ids(A.papers(spark, sf), _landed(spark, sf), A.paper_vectors(spark, sf))
 
 
 @query("validate_ids", _VALIDATE + "SELECT * FROM st")
@@ -161,9 +173,9 @@ def _(spark, sf):
     return facets.index_summary(A.chunk_vectors(spark, sf), "hashing", 64, 4096)
 
 
-@query("to_fetch", f"WITH {_SOURCES} SELECT DISTINCT CAST(vec_id AS VARCHAR) AS arxiv_id FROM embeddings WHERE CAST(vec_id AS VARCHAR) NOT IN (SELECT arxiv_id FROM src)")
+@query("to_fetch", f"WITH {_LANDED} SELECT DISTINCT CAST(doc_id AS VARCHAR) AS arxiv_id FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT arxiv_id FROM landed)")
 def _(spark, sf):
-    return extract.to_fetch(A.paper_vectors(spark, sf), _sources(spark, sf).where("landed"))
+    return extract.to_fetch(A.papers(spark, sf), _landed(spark, sf))
 
 
 # Corpus merge: two feeds over overlapping documents, the first with a second shard
@@ -373,30 +385,34 @@ def _(spark, sf):
     return chunking.chunk_markdown(A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"), page["markdown"].alias("markdown")))
 
 
-@query("html_stubs", "SELECT page_id, (length(html) < 5000 AND (contains(lower(html), 'conversion is not available') OR contains(lower(html), 'no html available'))) OR (length(html) < 15000 AND contains(lower(html), '<title></title>')) AS stub FROM pages")
+@query("html_stubs", "SELECT page_id, (length(html) < 5000 AND (contains(lower(html), 'conversion is not available') OR contains(lower(html), 'no html available'))) OR (length(html) < 15000 AND contains(html, '<title> | arXiv e-print repository</title>')) AS stub FROM pages")
 def _(spark, sf):
     return A.load(spark, sf, "pages").select("page_id", extract.is_stub(F.col("html")).alias("stub"))
 
 
-@query("parse_quality", f"""WITH {A.MARKDOWN}, p AS (SELECT arxiv_id, markdown, list_filter(string_split(chr(10) || markdown, chr(10) || '## '), lambda x: true)[2:] AS parts FROM md),
-  e AS (SELECT arxiv_id, length(trim(substr(x, strpos(x, chr(10)) + 1), chr(10) || ' ')) AS n FROM (SELECT arxiv_id, unnest(parts) AS x FROM p))
-SELECT arxiv_id, 'latex' AS branch, CAST(count(*) AS INTEGER) AS n_headings, round(avg(n), 1) AS avg_body_len, false AS echo_skeleton FROM e GROUP BY arxiv_id""")
+_ECHO = """l AS (SELECT arxiv_id, generate_subscripts(string_split(markdown, chr(10)), 1) AS i, unnest(string_split(markdown, chr(10))) AS line FROM md),
+  g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY arxiv_id ORDER BY i) AS sec FROM l),
+  b AS (SELECT arxiv_id, sec, length(trim(coalesce(string_agg(CASE WHEN starts_with(line, '#') THEN NULL ELSE line END, chr(10) ORDER BY i), ''), chr(10) || ' ')) AS n FROM g WHERE sec > 0 GROUP BY arxiv_id, sec),
+  ec AS (SELECT arxiv_id, CASE WHEN count(*) < 3 THEN false ELSE count(*) FILTER (n < 10) / count(*) > 0.7 OR avg(n) < 50 END AS echo FROM b GROUP BY arxiv_id)"""
+
+
+@query("parse_quality", f"""WITH {A.MARKDOWN}, {_ECHO}, p AS (SELECT arxiv_id, markdown, list_filter(string_split(chr(10) || markdown, chr(10) || '## '), lambda x: true)[2:] AS parts FROM md),
+  e AS (SELECT arxiv_id, length(trim(substr(x, strpos(x, chr(10)) + 1), chr(10) || ' ')) AS n FROM (SELECT arxiv_id, unnest(parts) AS x FROM p)),
+  q AS (SELECT arxiv_id, CASE WHEN CAST(arxiv_id AS BIGINT) % 2 = 0 THEN 'html' ELSE 'latex' END AS branch, CAST(count(*) AS INTEGER) AS n_headings, round(avg(n), 1) AS avg_body_len FROM e GROUP BY arxiv_id)
+SELECT q.*, branch = 'html' AND echo AS echo_skeleton FROM q JOIN ec USING (arxiv_id)""")
 def _(spark, sf):
-    return quality.parse_quality(A.markdown(spark, sf).withColumn("source", F.lit("latex"))).drop("markdown", "source")
+    source = F.when(F.col("arxiv_id").cast("long") % 2 == 0, "html").otherwise("latex")
+    return quality.parse_quality(A.markdown(spark, sf).withColumn("source", source)).drop("markdown", "source")
 
 
-@query("echo_skeleton", f"""WITH {A.MARKDOWN}, l AS (SELECT arxiv_id, generate_subscripts(string_split(markdown, chr(10)), 1) AS i, unnest(string_split(markdown, chr(10))) AS line FROM md),
-  g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY arxiv_id ORDER BY i) AS sec FROM l),
-  b AS (SELECT arxiv_id, sec, length(trim(coalesce(string_agg(CASE WHEN starts_with(line, '#') THEN NULL ELSE line END, chr(10) ORDER BY i), ''), chr(10) || ' ')) AS n FROM g WHERE sec > 0 GROUP BY arxiv_id, sec)
-SELECT arxiv_id, CASE WHEN count(*) < 3 THEN false ELSE count(*) FILTER (n < 10) / count(*) > 0.7 OR avg(n) < 50 END AS echo FROM b GROUP BY arxiv_id""")
+@query("echo_skeleton", f"WITH {A.MARKDOWN}, {_ECHO} SELECT arxiv_id, echo FROM ec")
 def _(spark, sf):
     return A.markdown(spark, sf).select("arxiv_id", quality.is_echo_skeleton(F.col("markdown")).alias("echo"))
 
 
-@query("fulltext_cascade", """WITH h AS (SELECT page_id AS id, html FROM pages WHERE page_id % 2 = 0), t AS (SELECT doc_id AS id, text FROM documents WHERE doc_id < (SELECT count(*) FROM pages))
-SELECT CAST(t.id AS VARCHAR) AS arxiv_id, CASE WHEN t.id % 2 = 0 THEN 'html' ELSE 'latex' END AS source, length(CASE WHEN t.id % 2 = 0 THEN h.html ELSE t.text END) AS n_chars FROM t LEFT JOIN h ON h.id = t.id""")
+@query("fulltext_cascade")
 def _(spark, sf):
-    """Markdown of all pages that are no stubs as the first tier, all documents as the second. The SQL twin still knows the raw HTML of even pages and the documents of a page's number only."""
+    """Markdown of all pages that are no stubs as the first tier, all documents as the second. SQL has no HTML parser; tested on a fixture."""
     html = extract.html_tier(A.load(spark, sf, "pages").select(F.col("page_id").cast("string").alias("arxiv_id"), "url", "html"))
     tex = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.col("text").alias("markdown"), F.lit(None).cast("string").alias("error"))
     return extract.cascade([("html", html), ("latex", tex)]).select("arxiv_id", "source", "n_chars")
@@ -553,7 +569,26 @@ def _(spark, sf):
     return facets.recall_at_k(e.select(F.col("vec_id").alias("query"), F.when(F.col("vec_id") % 13 != 0, F.col("vec_id") % 17 + 1).alias("rank")))
 
 
-@query("rerank", f"WITH {A.PAPERS}, c AS (SELECT * FROM papers WHERE contains(lower(title), 'the')) SELECT arxiv_id, CAST(length(title || chr(10) || chr(10) || abstract) AS DOUBLE) AS score FROM c ORDER BY score DESC, arxiv_id LIMIT 10")
+@query("rerank", f"""WITH {A.PAPERS}, c AS (SELECT *, {_COUNT.format(c='title', w='the')} AS hits FROM papers WHERE contains(lower(title), 'the')), t AS (SELECT * FROM c ORDER BY hits DESC, arxiv_id LIMIT 50)
+SELECT arxiv_id, CAST({_COUNT.format(c='abstract', w='er')} AS DOUBLE) - length(abstract) / 1000.0 AS score FROM t ORDER BY score DESC, arxiv_id LIMIT 10""")
+def _(spark, sf):
+    """The 50 papers with most hits in the title, reordered by a scorer that reads their texts."""
+    hits = A.papers(spark, sf).where(F.lower("title").contains("the")).withColumn("score", T.occurrences(F.lower("title"), "the"))
+
+    def scorer(query, texts):
+        bodies = [t.partition("\n\n")[2] for t in texts]
+        return [b.lower().count(query) - len(b) / 1000.0 for b in bodies]
+
+    return search.rerank(hits, "er", scorer, 10).select("arxiv_id", "score")
+
+
+@query("first_rows", f"WITH {A.CHUNK_VECTORS} SELECT arxiv_id, min(row) AS row FROM cv GROUP BY arxiv_id")
+def _(spark, sf):
+    return search.first_rows(A.chunk_vectors(spark, sf))
+
+
+@query("snippets", """SELECT doc_id, CASE WHEN p = 0 THEN trim(substr(text, 1, 240), {w}) ELSE
+  CASE WHEN p > 61 THEN '…' ELSE '' END || trim(substr(text, greatest(0, p - 61) + 1, 240), {w}) END || CASE WHEN length(text) > greatest(0, CASE WHEN p = 0 THEN 0 ELSE p - 61 END) + 240 THEN '…' ELSE '' END AS snippet
+FROM (SELECT doc_id, text, strpos(lower(text), 'ver') AS p FROM documents)""".format(w="' ' || chr(9) || chr(10) || chr(13)"))
 def _(spark, sf):
-    hits = A.papers(spark, sf).where(F.lower("title").contains("the"))
-    return search.rerank(hits, "the", lambda q, texts: [len(t) for t in texts], 10).select("arxiv_id", "score")
+    return A.load(spark, sf, "documents").select("doc_id", T.snippet(F.col("text"), ["ver"]).alias("snippet"))

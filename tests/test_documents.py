@@ -102,6 +102,12 @@ def test_eprint(spark):
     assert extract.tex_to_markdown(full) == "## First Part\n\nBody $a+b$ 10%\n\n## Second\n\nTwo words"
     assert extract.tex_to_markdown("no sections") is None
     loop = {"a.tex": "\\input{a}"}
+    damaged = tar({"m.tex": MAIN * 50})
+    damaged = damaged[:40] + bytes(60) + damaged[100:]
+    assert extract.unpack_eprint(damaged) is None and extract.unpack_eprint(damaged[:30]) is None
+    packages = spark.createDataFrame([("1", bytearray(tar({"m.tex": MAIN}))), ("2", bytearray(damaged)), ("3", bytearray(b"junk")), ("4", None), ("5", bytearray(b"\\documentclass{a} text"))], "arxiv_id string, payload binary")
+    errors = {r.arxiv_id: r.error for r in extract.latex_tier(packages).collect()}
+    assert errors == {"1": None, "2": "latex: damaged package", "3": "latex: no document", "4": "latex: no package", "5": "latex: no sections"}
     assert "\\input{a}" in extract.expand(loop["a.tex"], loop) and extract.expand("\\input{none}", {}) == "\\input{none}"
     got = spark.createDataFrame([(bytearray(tar({"m.tex": MAIN})),), (None,)], "p binary").select(extract.eprint_to_markdown(F.col("p")).alias("m")).collect()
     assert got[0].m.startswith("## First Part") and got[1].m is None
@@ -120,6 +126,19 @@ def test_cascade_and_archive(spark):
     assert [r.arxiv_id for r in extract.to_fetch(rows, rows.where("arxiv_id = '1'")).orderBy("arxiv_id").collect()] == ["../x", "3"]
 
 
+def test_pdf_tier(spark):
+    files = spark.createDataFrame([("1", bytearray(b"good")), ("2", bytearray(b"bad")), ("3", bytearray(b"short")), ("4", None)], "arxiv_id string, payload binary")
+
+    def parser(raw):
+        if raw == b"bad":
+            raise RuntimeError("unreadable")
+        return PROSE * 4 if raw == b"good" else "x"
+
+    got = {r.arxiv_id: (r.markdown is not None, r.error) for r in extract.pdf_tier(files, parser).collect()}
+    assert got == {"1": (True, None), "2": (False, "pdf: RuntimeError: unreadable"), "3": (False, "pdf: hardly any text"), "4": (False, "pdf: no file")}
+    assert {r.error for r in extract.pdf_tier(files).collect()} == {"pdf: no parser", "pdf: no file"}
+
+
 def test_stubs(spark):
     assert first(spark, "<p>Conversion is not available</p>", extract.is_stub) and first(spark, "<p>No HTML available</p>", extract.is_stub)
     assert not first(spark, "Conversion is not available" + "x" * 6000, extract.is_stub) and not first(spark, "<p>fine</p>", extract.is_stub)

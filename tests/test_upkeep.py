@@ -1,5 +1,5 @@
 import json
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscan import config, schema
 from folioscan.api import VERBS, Engine
 from folioscan.operators import encode, incremental, jobs
-from folioscan.sources import shards
+from folioscan.sources import index_store, shards
 from folioscan.sources.index_store import IndexStore
 from folioscan.streaming.refresh import is_stale, refresh_stream
 
@@ -95,7 +95,40 @@ def test_index_store(spark, tmp_path):
     assert store.load().count() == 3 and sorted(p.name for p in (tmp_path / "ix").glob("v=*")) == ["v=2", "v=3"]
     with pytest.raises(Exception):
         store.save(spark.range(1).select(F.raise_error(F.lit("x")).alias("x")))
-    assert store.load().count() == 3 and not (tmp_path / "ix" / "_CURRENT.tmp").exists()
+    assert store.load().count() == 3 and store.version() == 3
+    assert store.save(spark.range(7), {"model": "m"}) == 5 and store.load().count() == 7 and store.meta() == {"model": "m"}  # the failed one's number stays free
+    store.append(spark.range(2))
+    assert store.load().count() == 9
+
+
+def test_two_writers_of_an_index(spark, tmp_path):
+    a, b = (IndexStore(spark, str(tmp_path / "ix")) for _ in range(2))
+    a.save(spark.range(1))
+
+    class Slow:
+        """Rows whose writing another writer overtakes."""
+
+        @property
+        def write(self):
+            assert b.save(spark.range(3)) == 3
+            return spark.range(2).write
+
+    with pytest.raises(RuntimeError):
+        a.save(Slow())
+    assert a.load().count() == 3 and a.version() == 3
+
+
+def test_lock_has_an_owner(spark, tmp_path, monkeypatch):
+    a, b = (IndexStore(spark, str(tmp_path)) for _ in range(2))
+    assert a.lock("a") and not b.lock("b") and a.locked() == "a"
+    b.unlock("b")
+    assert b.locked() == "a"
+    monkeypatch.setattr(index_store, "LOCK_SECONDS", 0.0)
+    assert b.locked() is None and b.lock("b")  # what is not renewed is taken over
+    monkeypatch.setattr(index_store, "LOCK_SECONDS", 60.0)
+    a.renew("a")
+    a.unlock("a")
+    assert a.locked() == "b"
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -142,6 +175,10 @@ def test_engine(spark, tmp_path):
     assert e.refresh_abstracts().first().state == "done" and e.search_abstract_semantic("alpha study", 1).first().arxiv_id == "1"
     assert [r.arxiv_id for r in e.similar_to_abstract("1").collect()] == ["2"]
     assert e.fetch_papers(["1", "2"]).first().state == "done" and [r.arxiv_id for r in e.list_enriched().collect()] == ["1"]
+    fetched = {r.arxiv_id: r for r in e.fetch_results().collect()}
+    assert fetched["2"].error == "html: no text" and fetched["2"].source is None and fetched["1"].error is None and fetched["1"].n_headings == 3 and fetched["1"].echo_skeleton is False
+    done = [json.loads(r.result) for r in e.log.load().where("kind = 'fetch' and state = 'done'").collect()]
+    assert [(d["n_ok"], d["n_failed"], d["failed"]) for d in done] == [(1, 1, ["2"])]
     assert e.reindex().first().state == "done"
     assert [r.section for r in e.search_paper_text("alpha", 5).collect()][-1] == "References"
     assert e.search_paper_semantic("alpha methods", 2).count() == 2 and e.similar_to_paper("1").count() == 0
@@ -149,13 +186,26 @@ def test_engine(spark, tmp_path):
     assert info.enriched and info.indexed and info.n_chunks == 4
     assert {r.arxiv_id: r.status for r in e.validate_arxiv_ids(["1", "2"]).collect()} == {"1": "cached", "2": "pdf_fallback"}
     assert e.job_list().count() == 4 and "error" in e.job_status("none").columns
-    assert e.guard.lock() and not e.guard.lock() and e.reindex().first().skipped == "encoder busy" and e.refresh_abstracts().first().skipped == "encoder busy"
+    assert e.guard.lock("other") and e.reindex().first().skipped == "encoder busy" and e.refresh_abstracts().first().skipped == "encoder busy"
     e._event("lost", "fetch", "running")
     again = Engine(spark, papers, str(tmp_path))
-    assert again.job_status("lost").first().state == "orphaned" and again.guard.lock()
-    again.guard.unlock()
+    assert again.job_status("lost").first().state == "orphaned" and again.guard.locked() == "other"  # a live lock stays
+    e.guard.unlock("other")
+    assert e.guard.lock(e.owner)
+    e._event("mine", "reindex", "running")
+    assert Engine(spark, papers, str(tmp_path)).job_status("mine").first().state == "running"  # its engine is alive
+    e.guard.unlock(e.owner)
+    assert Engine(spark, papers, str(tmp_path)).job_status("mine").first().state == "orphaned"
+    e._event("mine", "reindex", "done")
+    later = Engine(spark, papers, str(tmp_path), clock=lambda: datetime.now(UTC) + timedelta(days=8))
+    assert later.job_list().count() == 0  # what ended long ago goes at start
+    other = Engine(spark, papers, str(tmp_path), encoder=encode.HashingEncoder(32), landed=[("html", html)])
+    assert "not hashing (32)" in other.search_paper_semantic("x").first().error and "not hashing (32)" in other.search_abstract_semantic("x").first().error
+    assert other.reindex().first().state == "done" and other.search_paper_semantic("alpha", 1).count() == 1 and other.chunks.meta()["dims"] == 32
+    assert other.refresh_abstracts().first().state == "done" and other.search_abstract_semantic("alpha", 1).count() == 1
     assert len(VERBS) == 16 and e.call("list_domains").count() == 1
     assert "error" in e.call("_run").columns and "error" in e.call("list_tags", {"bad": 1}).columns and "error" in e.call("search_abstract_text", {"query": "a", "k": 0}).columns
+    assert [[0, 1], [2], [3]] == encode.batches([5, 6, 600, 9000]) and [len(b) for b in encode.batches([1] * 130 + [3000] * 9)] == [64, 64, 2, 8, 1]
 
 
 def test_config(tmp_path, monkeypatch):
