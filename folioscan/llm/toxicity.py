@@ -193,87 +193,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = lambda want, n: int(min(1.0, 2 * want / max(1, n)) * (1 << 20))
     few = F.col("key") < F.when(F.col("named"), share(PAIR_SENTENCES, n_named)).otherwise(share(max(0, PAIR_SENTENCES - n_named), n_other))
     chosen = found.where(few).orderBy(F.desc("named"), "key", "s").limit(PAIR_SENTENCES).select("s")
-    moved = [(np.setdiff1d(b, a), np.setdiff1d(a, b)) for a, b in pairs]
-    cols = np.concatenate([*(x for m in moved for x in m), np.zeros(0, np.int64)]).astype(np.int64)
-    sign = np.concatenate([*(np.full(len(x), s) for m in moved for x, s in zip(m, (1.0, -1.0), strict=True)), np.zeros(0)])
-    pair = np.repeat(np.arange(len(moved)), [len(a) + len(b) for a, b in moved])
-    y = labels.astype(float)
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))  # both classes weigh the same
-    w, b = np.zeros(n), 0.0
-    m, v, beta = np.zeros(n + 1), np.zeros(n + 1), (0.9, 0.999)
-    for t in range(1, rounds + 1):
-        z = b + np.bincount(of, w[flat], minlength=len(rows))
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(flat, g[of], minlength=n) + ridge * w
-        if len(moved):
-            change = np.bincount(pair, sign * w[cols], minlength=len(moved))
-            grad += 2 * penalty / len(moved) * np.bincount(cols, sign * change[pair], minlength=n)
-        step = np.append(grad, g.sum())
-        m, v = beta[0] * m + (1 - beta[0]) * step, beta[1] * v + (1 - beta[1]) * step**2
-        move = 0.1 * (m / (1 - beta[0] ** t)) / (np.sqrt(v / (1 - beta[1] ** t)) + 1e-9)
-        w, b = w - move[:n], b - move[n]
-    return float(b), w
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, penalty: float = 5.0) -> Model:
-    """Fit on the labelled documents. `labels` holds the rows to learn from only; of conflicting labels the largest counts, null labels and ids are left out.
-
-    Rows that repeat an id and text count once, so no id can outgrow the sample.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = checkpoint(known)
-    n = known.count()
-    if n > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
-    # About sample_rows ids and labels, so broadcasting them is bounded.
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "text", "y").distinct()
-    sample = written(rows.withColumn("key", F.xxhash64("id", "text")))
-    if sample.count() > sample_rows:
-        sample = sample.where(F.col("key") <= F.lit(sample.select("key").orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]))
-    totals = sample.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
-    if not sum(totals):
-        return Model(-5.0, {})
-
-    def count(batches):
-        seen: list[Counter] = [Counter(), Counter()]
-        for batch in slices(batches):
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y > 0].update(features(text))
-        keys = list({**seen[0], **seen[1]})
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"f": pa.array(part, pa.string()), "neg": pa.array([seen[0][k] for k in part], pa.int64()), "pos": pa.array([seen[1][k] for k in part], pa.int64())})
-
-    counts = sample.select("text", "y").mapInArrow(lean(count), "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    odds = F.log((F.col("pos") + 0.5) / (totals[0] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals[1] + 1.0))
-    rank = F.abs(odds) * F.sqrt(F.col("pos") + F.col("neg"))
-    kept = [r.f for r in counts.where(F.col("pos") + F.col("neg") >= FEATURE_ROWS).orderBy(rank.desc(), "f").limit(FEATURES).select("f").collect()]
-    own = sorted({f for t in (*IDENTITY_TERMS, *NEUTRAL) for f in features(t.replace("{}", ""))})
-    index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *own]))}
-
-    def encode(batches):
-        for batch in slices(batches):
-            found = [sorted(index[f] for f in features(t) & index.keys()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"x": pa.array(found, pa.list_(pa.int32())), "y": batch.column(1).cast(pa.int32()), "key": batch.column(2)})
-
-    def cut(batches):
-        for batch in slices(batches):
-            for t in batch.column(0).to_pylist():
-                found = sentences(t)
-                yield pa.RecordBatch.from_pydict({"s": pa.array(found, pa.string()), "named": pa.array([bool(named(s)) for s in found], pa.bool_())})
-
-    def pair(batches):
-        """The features that each pair's second sentence has beyond the first, and the other way round; one task, at most PAIR_SENTENCES sentences."""
-        first = 0
-        for batch in slices(batches):
-            found = batch.column(0).to_pylist()
-            made = counterfactual_pairs([""] * first + found)[3 * first :] if first else counterfactual_pairs(found)
-            first += len(found)
-            places = [tuple({index[f] for f in features(s) & index.keys()} for s in p) for p in made]
-            yield pa.RecordBatch.from_pydict({"more": pa.array([sorted(b - a) for a, b in places], pa.list_(pa.int32())), "less": pa.array([sorted(a - b) for a, b in places], pa.list_(pa.int32()))})
-
-    rows = sorted(sample.select("text", "y", "key").mapInArrow(lean(encode), "x array<int>, y int, key long").collect(), key=lambda r: (r.key, r.y, r.x))
-    chosen = sample.select("text").mapInArrow(lean(cut), "s string, named boolean").distinct().orderBy(F.desc("named"), F.xxhash64("s"), "s").limit(PAIR_SENTENCES).select("s")
     moved = [(np.array(r.more, np.int64), np.array(r.less, np.int64)) for r in chosen.mapInArrow(lean(pair), "more array<int>, less array<int>").collect()]
     place = lambda s: np.array(sorted(index[f] for f in features(s) & index.keys()), np.int64)
     neutral = [(place(a), place(b)) for a, b in counterfactual_pairs(neutral_sentences())]
