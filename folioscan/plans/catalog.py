@@ -314,7 +314,20 @@ def _(spark, sf):
     return chunking.chunk_markdown(A.markdown(spark, sf))
 
 
-@query("pack_paragraphs")
+#: Chunks of 40 tokens with an overlap of 8: `f` says that paragraph i opens a chunk, `s` where its chunk starts, `t` where a tail of 8 tokens that ends at i starts.
+_PACK = _SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + """, q AS (SELECT arxiv_id, section, sec, unnest(string_split(body, chr(10) || chr(10))) AS p, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) AS place FROM s),
+  p AS (SELECT arxiv_id, section, sec, row_number() OVER w AS i, p, n, sum(n) OVER w AS c FROM (SELECT *, greatest(1, length(p) // 4) AS n FROM q WHERE trim(p, ' ' || chr(9) || chr(10)) <> '') WINDOW w AS (PARTITION BY arxiv_id, sec ORDER BY place)),
+  t AS (SELECT a.arxiv_id, a.sec, a.i, max(b.i) AS t FROM p a LEFT JOIN p b ON a.arxiv_id = b.arxiv_id AND a.sec = b.sec AND b.i <= a.i AND a.c - b.c + b.n >= 8 GROUP BY ALL),
+  u AS (SELECT p.arxiv_id, p.sec, p.i, p.c, t.t FROM p JOIN t USING (arxiv_id, sec, i)),
+  r AS (SELECT arxiv_id, sec, i, CAST(1 AS BIGINT) AS s, false AS f FROM u WHERE i = 1 UNION ALL
+    SELECT x.arxiv_id, x.sec, x.i, CASE WHEN x.c - coalesce(y.c, 0) > 40 THEN greatest(r.s, coalesce(z.t, r.s)) ELSE r.s END, x.c - coalesce(y.c, 0) > 40
+    FROM r JOIN u x ON x.arxiv_id = r.arxiv_id AND x.sec = r.sec AND x.i = r.i + 1 JOIN u z ON z.arxiv_id = r.arxiv_id AND z.sec = r.sec AND z.i = r.i LEFT JOIN u y ON y.arxiv_id = r.arxiv_id AND y.sec = r.sec AND y.i = r.s - 1),
+  e AS (SELECT arxiv_id, sec, i, s, row_number() OVER w - 1 AS chunk_idx FROM (SELECT *, coalesce(lead(f) OVER (PARTITION BY arxiv_id, sec ORDER BY i), true) AS last FROM r) WHERE last WINDOW w AS (PARTITION BY arxiv_id, sec ORDER BY i)),
+  k AS (SELECT e.arxiv_id, p.section, e.sec, CAST(e.chunk_idx AS INTEGER) AS chunk_idx, string_agg(p.p, chr(10) || chr(10) ORDER BY p.i) AS text FROM e JOIN p ON p.arxiv_id = e.arxiv_id AND p.sec = e.sec AND p.i BETWEEN e.s AND e.i GROUP BY ALL)
+SELECT arxiv_id, section, chunk_idx, text, length(text) AS n_chars, greatest(1, length(text) // 4) AS n_tokens_est FROM k"""
+
+
+@query("pack_paragraphs", _PACK)
 def _(spark, sf):
     return chunking.chunk_markdown(A.markdown(spark, sf), max_tokens=40, overlap=0.2)
 
@@ -450,14 +463,16 @@ def _(spark, sf):
 
 
 def _index_state(spark, sf):
-    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id")
+    """All documents as source files, all embeddings as what is indexed: a vector belongs to the document of seven times its number."""
     at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
-    sources = d.where("doc_id % 4 <> 0").select("arxiv_id", at(F.when(F.col("doc_id") % 6 == 1, F.lit(60)).otherwise(F.lit(0))).alias("mtime"))
-    return sources, d.where("doc_id % 5 <> 0").select("arxiv_id", F.when(F.col("doc_id") % 11 != 0, at(F.lit(0))).alias("indexed_at"))
+    n, v = F.col("doc_id"), F.col("vec_id")
+    sources = A.load(spark, sf, "documents").select(n.cast("string").alias("arxiv_id"), at(F.when(n % 6 == 1, F.lit(60)).otherwise(F.lit(0))).alias("mtime"))
+    indexed = A.load(spark, sf, "embeddings").select((v * 7).cast("string").alias("arxiv_id"), F.when(v % 11 != 0, at(F.lit(0))).alias("indexed_at"))
+    return sources, indexed
 
 
-_CLASSIFY = """WITH st AS (SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 5 = 0 THEN 'new' WHEN doc_id % 4 = 0 THEN 'deleted'
-  WHEN doc_id % 11 = 0 OR doc_id % 6 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM documents WHERE doc_id % 4 <> 0 OR doc_id % 5 <> 0)"""
+_CLASSIFY = """WITH st AS (SELECT CAST(coalesce(doc_id, vec_id * 7) AS VARCHAR) AS arxiv_id, CASE WHEN vec_id IS NULL THEN 'new' WHEN doc_id IS NULL THEN 'deleted'
+  WHEN vec_id % 11 = 0 OR doc_id % 6 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM documents FULL JOIN embeddings ON doc_id = vec_id * 7)"""
 
 
 @query("index_classify", _CLASSIFY + " SELECT * FROM st")
@@ -473,21 +488,41 @@ def _(spark, sf):
     return incremental.merge_index(indexed.select("arxiv_id", F.lit("old").alias("made")), st, fresh)
 
 
-@query("refresh_diff", "SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, CASE WHEN doc_id % 3 = 0 THEN 'deleted' ELSE 'added' END AS change FROM documents WHERE (doc_id % 3 = 0) <> (doc_id % 4 = 0)")
-def _(spark, sf):
-    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id")
-    return incremental.diff_ids(d.where("doc_id % 3 = 0"), d.where("doc_id % 4 = 0"))
+def _feeds(spark, sf, stride: int):
+    """All pages as the corpus before, all documents as the corpus after; a page was the document of `stride` times its number."""
+    old = A.load(spark, sf, "pages").select((F.col("page_id") * stride).cast("string").alias("arxiv_id"), F.col("html").alias("text"))
+    return old, A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "text")
 
 
-@query("refresh_summary", "SELECT 'incremental' AS strategy, count(*) FILTER (doc_id % 3 <> 0) AS added, CAST(0 AS BIGINT) AS deleted, count(*) AS total FROM documents")
+@query("refresh_diff", """SELECT CAST(coalesce(doc_id, page_id * 5) AS VARCHAR) AS arxiv_id, CASE WHEN doc_id IS NULL THEN 'deleted' ELSE 'added' END AS change
+FROM documents FULL JOIN pages ON doc_id = page_id * 5 WHERE doc_id IS NULL OR page_id IS NULL""")
 def _(spark, sf):
-    d = A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "doc_id", "text")
+    return incremental.diff_ids(*_feeds(spark, sf, 5))
+
+
+_REFRESH = """WITH c AS (SELECT count(*) FILTER (page_id IS NULL) AS added, count(*) FILTER (doc_id IS NULL) AS deleted, count(doc_id) AS total FROM documents FULL JOIN pages ON doc_id = page_id * {stride})
+SELECT CASE WHEN deleted > 0 THEN 'full' WHEN added > 0 THEN 'incremental' ELSE 'noop' END AS strategy, added, deleted, total FROM c"""
+
+
+def _refreshed(spark, sf, stride: int) -> DataFrame:
+    old, new = _feeds(spark, sf, stride)
     make = lambda rows: encode.encode_passages(rows.select("arxiv_id", "text"), encode.HashingEncoder()).drop("text")
-    old = d.where("doc_id % 3 = 0")
-    index, said = incremental.refresh(old, d, make(old), make)
+    index, said = incremental.refresh(old, new, make(old), make)
     return index.agg(F.count(F.lit(1)).alias("total")).select(F.lit(said["strategy"]).alias("strategy"), F.lit(said["added"]).cast("long").alias("added"), F.lit(said["deleted"]).cast("long").alias("deleted"), "total")
 
 
+@query("refresh_summary", _REFRESH.format(stride=1))
+def _(spark, sf):
+    """Pages are among the documents here, so vectors are only added."""
+    return _refreshed(spark, sf, 1)
+
+
+@query("refresh_summary_full", _REFRESH.format(stride=5))
+def _(spark, sf):
+    """Some pages' numbers are no document's here, so all documents are encoded anew."""
+    return _refreshed(spark, sf, 5)
+
+
 @query("stream_refresh", "SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, length(text) AS n_chars FROM documents")
 def _(spark, sf):
     root = shared_dir(spark, "refresh")
