@@ -488,7 +488,7 @@ def _(spark, sf):
     return incremental.merge_index(indexed.select("arxiv_id", F.lit("old").alias("made")), st, fresh)
 
 
-def _feeds(spark, sf, stride: int):
+def _before_and_after(spark, sf, stride: int):
     """All pages as the corpus before, all documents as the corpus after; a page was the document of `stride` times its number."""
     old = A.load(spark, sf, "pages").select((F.col("page_id") * stride).cast("string").alias("arxiv_id"), F.col("html").alias("text"))
     return old, A.load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("arxiv_id"), "text")
@@ -497,7 +497,7 @@ def _feeds(spark, sf, stride: int):
 @query("refresh_diff", """SELECT CAST(coalesce(doc_id, page_id * 5) AS VARCHAR) AS arxiv_id, CASE WHEN doc_id IS NULL THEN 'deleted' ELSE 'added' END AS change
 FROM documents FULL JOIN pages ON doc_id = page_id * 5 WHERE doc_id IS NULL OR page_id IS NULL""")
 def _(spark, sf):
-    return incremental.diff_ids(*_feeds(spark, sf, 5))
+    return incremental.diff_ids(*_before_and_after(spark, sf, 5))
 
 
 _REFRESH = """WITH c AS (SELECT count(*) FILTER (page_id IS NULL) AS added, count(*) FILTER (doc_id IS NULL) AS deleted, count(doc_id) AS total FROM documents FULL JOIN pages ON doc_id = page_id * {stride})
@@ -505,7 +505,7 @@ SELECT CASE WHEN deleted > 0 THEN 'full' WHEN added > 0 THEN 'incremental' ELSE
 
 
 def _refreshed(spark, sf, stride: int) -> DataFrame:
-    old, new = _feeds(spark, sf, stride)
+    old, new = _before_and_after(spark, sf, stride)
     make = lambda rows: encode.encode_passages(rows.select("arxiv_id", "text"), encode.HashingEncoder()).drop("text")
     index, said = incremental.refresh(old, new, make(old), make)
     return index.agg(F.count(F.lit(1)).alias("total")).select(F.lit(said["strategy"]).alias("strategy"), F.lit(said["added"]).cast("long").alias("added"), F.lit(said["deleted"]).cast("long").alias("deleted"), "total")
