@@ -4,14 +4,17 @@ Unit vectors link when their cosine reaches a threshold, that is when their chor
 are dealt to the nearest of a bounded number of centres and on to blocks of at most about BLOCK rows. Each block becomes a
 cover tree, once: nested levels of nodes whose radii halve, every node with the true distance to its farthest member. Pairs
 of blocks, and then pairs of nodes level by level, are dropped when the distance of their centres exceeds the threshold by
-more than both covering radii; a pair of nodes whose members all lie within it is taken whole. What remains is compared
-vector by vector in double precision. Blocks that lie near each other form groups, and a task meets all pairs of blocks of
+more than both covering radii; a pair of nodes whose members all lie within it is taken whole. Where vectors are scattered,
+covering radii say little; there the nodes of two blocks are put in order along the line between the blocks' means, and pairs
+that lie further apart on that line alone than the threshold are never formed. What remains is compared vector by vector in
+double precision. Blocks that lie near each other form groups, and a task meets all pairs of blocks of
 two groups: a tree is sent once for each group, not once for each block, and counts and a spanning forest are handed on,
 never pairs of vectors.
 """
 
 from __future__ import annotations
 
+import functools
 import io
 
 import numpy as np
@@ -25,6 +28,14 @@ from folioscan.llm.graph import components, settle
 THRESHOLD = 0.95
 #: Rows of a block, centres at most (a sample of 4 x as many rows is fetched for them), and bytes of a group of blocks.
 BLOCK, CENTRES, GROUP_BYTES = 4096, 4096, 64_000_000
+#: Rows for each centre, as long as there are fewer than CENTRES: the more cells, the wider the gap between two of them.
+CELL = 2048
+#: Share of a level's nodes that may be too wide for it to be the one to begin with.
+FEW = 0.002
+#: Rotated components that stand for a vector in the first comparison; the length of the rest goes with them.
+SHADOW = 16
+#: Nodes in the first run of those next to the other block; each run is twice as long as the one before.
+EDGE = 32
 #: Groups up to which the pairs of groups that are too far apart are left out before trees are sent.
 PRUNED_GROUPS = 256
 #: Nodes of one block that are compared with a run of another's at a time: their products stay in a core's cache.
@@ -49,25 +60,35 @@ def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, len(points), 256):
         part = np.arange(at, min(at + 256, len(points)))
         if centres:
-            d = _chord(points[part], points[centres])
-            near = d.argmin(axis=1)
-            inside = d[np.arange(len(part)), near] <= radius
+            dots = points[part] @ points[centres].T
+            near = dots.argmax(axis=1)
+            inside = 2.0 - 2.0 * dots[np.arange(len(part)), near] <= radius * radius
             of[part[inside]] = near[inside]
             part = part[~inside]
         if not len(part):
             continue
-        d = _chord(points[part], points[part])
+        close = _chord(points[part], points[part]) <= radius
+        np.fill_diagonal(close, True)
         free = np.ones(len(part), bool)
+        alone = close.sum(axis=1) == 1
         for i in range(len(part)):
-            if free[i]:
-                mine = free & (d[i] <= radius)
-                mine[i] = True
+            if alone[i]:
+                of[part[i]] = len(centres)
+                centres.append(int(part[i]))
+            elif free[i]:
+                mine = free & close[i]
                 of[part[mine]] = len(centres)
                 free &= ~mine
                 centres.append(int(part[i]))
     return np.array(centres), of
 
 
+@functools.cache
+def _turn(dim: int) -> np.ndarray:
+    """A fixed rotation, so that no component says more than another about all vectors."""
+    return np.linalg.qr(np.random.default_rng(0).normal(size=(dim, dim)))[0]
+
+
 class CoverTree:
     """Nodes by level; a level's node has a centre, a covering radius and a run of the level below (of rows at the last).
 
@@ -114,6 +135,21 @@ class CoverTree:
         place[order] = np.arange(len(order))
         #: The row, in tree order, that is each node's centre.
         self.middle = [place[c] for c in chosen_rows]
+        self.ready()
+
+    def ready(self) -> None:
+        """What is derived and not packed: the rows' mean, and centres in single precision once they are asked for."""
+        self.mean = self.rows.mean(axis=0) if len(self.rows) else np.zeros(self.rows.shape[1])
+        self.single: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def flat(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """A level's centres and their shadows: the product of two shadows is at least the product of the vectors (Cauchy-Schwarz)."""
+        if level not in self.single:
+            x = self.centre(level, slice(None))
+            turned = x @ _turn(x.shape[1])
+            rest = np.sqrt(np.einsum("ij,ij->i", turned[:, SHADOW:], turned[:, SHADOW:]))
+            self.single[level] = x.astype(np.float32), np.column_stack([turned[:, :SHADOW], rest]).astype(np.float32)
+        return self.single[level]
 
     def centre(self, level: int, nodes) -> np.ndarray:
         return self.rows[self.middle[level][nodes]]
@@ -145,12 +181,83 @@ def _near(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, most: fl
     """
     dots = a @ b.T
     limit = lambda r: (1 - (most + SLACK + r) ** 2 / 2 - 1e-5).astype(np.float32)
-    keep = dots >= limit(np.float64(1e-6))
+    keep = np.zeros((len(a), -(-len(b) // 8) * 8), bool)
+    np.greater_equal(dots, limit(np.float64(1e-6)), out=keep[:, : len(b)])
     wide = np.flatnonzero(ra > 5e-7)
-    keep[wide] = dots[wide] >= limit(ra[wide, None] + rb[None, :])
+    if len(wide):
+        keep[wide, : len(b)] = dots[wide] >= limit(ra[wide, None] + rb[None, :])
     wide = np.flatnonzero(rb > 5e-7)
-    keep[:, wide] = dots[:, wide] >= limit(ra[:, None] + rb[None, wide])
-    return np.divmod(np.flatnonzero(keep.ravel()), keep.shape[1])
+    if len(wide):
+        keep[:, wide] = dots[:, wide] >= limit(ra[:, None] + rb[None, wide])
+    eights = np.flatnonzero(keep.reshape(-1).view(np.uint64) != 0)  # hits are few: they are looked for eight at a time
+    k, bit = np.nonzero(keep.reshape(-1, 8)[eights])
+    return np.divmod(eights[k] * 8 + bit, keep.shape[1])
+
+
+def _start(a: CoverTree, b: CoverTree, most: float) -> int:
+    """The level at which two trees begin to meet.
+
+    A node whose radius bridges half the usual distance between the blocks' rows (the root of 2 - 2 times the product of
+    their means) is hardly ever dropped, and hands on its pairs one by one: levels with more than a few are left out.
+    Where a level has hardly more pairs of nodes than the one to begin with, testing that one would cost as much and drop less.
+    """
+    pairs = [len(x) * len(y) for x, y in zip(a.lo, b.lo, strict=True)]
+    apart = float(np.sqrt(max(0.0, 2 - 2 * float(a.mean @ b.mean))))
+    if apart <= most:  # near copies: whole nodes may be taken at once
+        return max((k for k in range(2, len(pairs)) if pairs[k] <= 1.5 * pairs[1]), default=0)
+    last = len(pairs) - 1
+    half = (0.9 * apart - most) / 2
+    wide = lambda t, k: np.count_nonzero(t.radius[k] > half) / max(1, len(t.lo[k]))
+    start = next((k for k in range(1, last) if wide(a, k) + wide(b, k) <= FEW), last)
+    return max(k for k in range(start, last + 1) if pairs[k] <= 1.5 * pairs[start])
+
+
+def _facing(a: CoverTree, b: CoverTree, level: int, most: float):
+    """Candidate pairs of a level's nodes, as `_near`, out of all pairs that are not too far apart along the line between both means.
+
+    A chord is no shorter than its part along a line, whatever the line, so no link is lost. Nodes are taken in the order in
+    which they lie next to the other block: a run of a's nodes meets b's only as far as its foremost node reaches.
+    """
+    line = a.mean - b.mean
+    length = float(np.sqrt(line @ line))
+    (x, x_shadow), (y, y_shadow), ra, rb = a.flat(level), b.flat(level), a.radius[level], b.radius[level]
+    if length > SLACK:
+        line = (line / length).astype(np.float32)
+        behind, ahead = x @ line - ra, y @ line + rb
+        reach = most + SLACK + 1e-5  # with room for the error of single precision
+        own, other = np.flatnonzero(behind <= ahead.max() + reach), np.flatnonzero(ahead >= behind.min() - reach)
+        own, other = own[np.argsort(behind[own])], other[np.argsort(-ahead[other])]
+        ends = np.searchsorted(-ahead[other], reach - behind[own], "right")  # how many of b's nodes each of a's may reach
+    else:
+        own, other = np.arange(len(x)), np.arange(len(y))
+        ends = np.full(len(x), len(y))
+    if not len(own) or not ends[0]:
+        return
+    ra, rb = ra[own], rb[other]
+    sides = [None, None]  # in order, as they are needed: shadows, whole centres
+    at, run, whole = 0, EDGE if length > SLACK else TILE, x.shape[1] <= SHADOW + 8
+    found, n = [], 0
+    while at < len(own) and ends[at]:
+        to, end = min(at + run, len(own)), ends[at]
+        for kind in (False, True):
+            if kind < whole:
+                continue
+            if sides[kind] is None:
+                sides[kind] = (x[own], y[other]) if kind else (x_shadow[own], y_shadow[other])
+            u, v = sides[kind]
+            p, q = _near(u[at:to], v[:end], ra[at:to], rb[:end], most)
+            if len(p) * 100 <= (to - at) * end:
+                break
+            whole = True  # shadows tell too little here
+        if len(p):
+            found.append((own[p + at], other[q]))
+            n += len(p)
+        if n > 200_000:
+            yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
+            found, n = [], 0
+        at, run = to, min(2 * run, TILE)
+    if found:
+        yield tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
 def _spread(lo: np.ndarray, hi: np.ndarray, mate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +266,20 @@ def _spread(lo: np.ndarray, hi: np.ndarray, mate: np.ndarray) -> tuple[np.ndarra
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), np.repeat(mate, n)
 
 
+def _below(a: CoverTree, b: CoverTree, level: int, i: np.ndarray, j: np.ndarray, most: float):
+    """Candidate pairs of a level's nodes below pairs (i, j) of nodes of the level above."""
+    held: tuple = (None, None)
+    for box, pair in _tiles(*a.kids[level][i].T, *b.kids[level][j].T):
+        if box:
+            x, y = slice(*box[:2]), slice(*box[2:])
+            if box[2:] != held[0]:
+                held = box[2:], b.centre(level, y).astype(np.float32)
+            p, q = _near(a.centre(level, x).astype(np.float32), held[1], a.radius[level][x], b.radius[level][y], most)
+            yield p + box[0], q + box[2]
+        else:
+            yield pair
+
+
 def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links of each row of a and of b (in tree order) to the other block, by weight, and linked places (a's row, b's row) that span all of them.
 
@@ -168,26 +289,11 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
     count_a, count_b, own = np.zeros(len(a.rows) + 1, np.int64), np.zeros(len(b.rows) + 1, np.int64), np.zeros(len(a.rows) + 1, np.int64)
     sum_a, sum_b = np.concatenate([[0], np.cumsum(a.weights)]), np.concatenate([[0], np.cumsum(b.weights)])
     left, right = [], []
-    held: tuple = (None, None)
-    # Where a level has hardly more pairs of nodes than the first one, testing the levels above would cost as much and prune less.
-    pairs = [len(x) * len(y) for x, y in zip(a.lo, b.lo, strict=True)]
-    first = max((k for k in range(2, len(pairs)) if pairs[k] <= 1.5 * pairs[1]), default=0)
-    i = j = np.zeros(1, np.int64)
+    first = _start(a, b, most)
+    i = j = np.zeros(0, np.int64)
     for level in range(first, len(a.kids)):
-        if level == first:
-            (a0, a1), (b0, b1) = (np.array([0]), np.array([len(a.lo[level])])), (np.array([0]), np.array([len(b.lo[level])]))
-        else:
-            (a0, a1), (b0, b1) = a.kids[level][i].T, b.kids[level][j].T
         new_i, new_j = [], []
-        for box, pair in _tiles(a0, a1, b0, b1):
-            if box:
-                x, y = slice(*box[:2]), slice(*box[2:])
-                if (level, box[2:]) != held[0]:
-                    held = (level, box[2:]), b.centre(level, y).astype(np.float32)
-                p, q = _near(a.centre(level, x).astype(np.float32), held[1], a.radius[level][x], b.radius[level][y], most)
-                p, q = p + box[0], q + box[2]
-            else:
-                p, q = pair
+        for p, q in _facing(a, b, level, most) if level == first else _below(a, b, level, i, j, most):
             d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.centre(level, p), b.centre(level, q))))
             bound = a.radius[level][p] + b.radius[level][q]
             keep = d <= most + bound + SLACK
@@ -211,6 +317,8 @@ def pairs_within(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> tu
             new_i.append(p[~whole])
             new_j.append(q[~whole])
         i, j = np.concatenate([*new_i, np.zeros(0, np.int64)]), np.concatenate([*new_j, np.zeros(0, np.int64)])
+        if not len(i):
+            break
     links_a, links_b = np.cumsum(count_a)[:-1] - np.cumsum(own)[:-1] * a.weights, np.cumsum(count_b)[:-1]
     last = len(a.kids) - 1
     for box, pair in _tiles(a.lo[last][i], a.hi[last][i], b.lo[last][j], b.hi[last][j]):
@@ -250,6 +358,7 @@ def _unpack(blob: bytes) -> tuple[CoverTree, np.ndarray]:
     for name in _PARTS:
         setattr(tree, name, [x[f"{name}{k}"] if name == "radius" else x[f"{name}{k}"].astype(np.int64) for k in range(int(x["levels"]))])
     tree.rows, tree.weights = unit(x["rows"]), x["weights"]
+    tree.ready()
     return tree, x["ids"]
 
 
@@ -260,13 +369,15 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     dimension with each other. Repeated rows are vectors of their own and link; null ids count as larger than all others,
     an empty table gives no rows, labels and other columns are ignored.
     """
-    value = F.col(vector_col).cast("array<double>")
+    # Single precision stays as it is, at half the bytes wherever vectors are written or moved; all products are of doubles.
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    value = F.col(vector_col).cast(kind)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.monotonically_increasing_id().alias("row"), value.alias("v"))
     rows = rows.withColumn("top", F.array_max(F.transform("v", F.abs)))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.col("top") > 0)
     # Squares of very large or small components would leave the range of numbers; a direction has no size.
     extreme = (F.col("top") > 1e100) | (F.col("top") < 1e-100)
-    rows = rows.withColumn("v", F.when(fine & extreme, F.transform("v", lambda x: x / F.col("top"))).otherwise(F.col("v")))
+    rows = rows.withColumn("v", F.when(fine & extreme, F.transform("v", lambda x: x / F.col("top")).cast(kind)).otherwise(F.col("v")))
     rows = checkpoint(rows.select("vec_id", "row", F.when(fine, F.col("v")).alias("v")))
     good = rows.where("v is not null")
     sizes = [r.n for r in good.select(F.size("v").alias("n")).distinct().collect()]  # each dimension is an index of its own
@@ -298,7 +409,7 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(row, n_links) and edges (a, b) between rows (row, v, copies), of distinct vectors of one dimension."""
     spark = good.sparkSession
     n = good.count()
-    k = max(1, min(CENTRES, -(-n // BLOCK)))
+    k = max(1, min(CENTRES, -(-n // min(CELL, BLOCK))))
     wanted = 4 * k
     sample = good.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(1.0, 4 * wanted / max(1, n)) * (1 << 30))).orderBy(F.xxhash64("row")).limit(wanted).select("v").toArrow().column("v").combine_chunks()
     points = unit(sample.flatten().to_numpy().reshape(len(sample), -1)) if len(sample) else unit(np.array([good.first().v]))
@@ -316,7 +427,7 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
                 d = _chord(x, centres.value)
                 yield pa.RecordBatch.from_pydict({"row": b.column(0), "v": b.column(1), "copies": b.column(2), "cell": pa.array(d.argmin(axis=1).astype(np.int32)), "d": pa.array(d.min(axis=1))})
 
-    dealt = checkpoint(good.mapInArrow(lean(deal), "row long, v array<double>, copies long, cell int, d double"))
+    dealt = checkpoint(good.mapInArrow(lean(deal), f"row long, v {dict(good.dtypes)['v']}, copies long, cell int, d double"))
     # A cell with more than BLOCK rows is dealt on by a hash; every part keeps its own tree. Cells are numbered so that
     # neighbours follow each other: by the nearest of the first centres, which lie far apart.
     cells = sorted(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).collect(), key=lambda c: c.cell)  # at most CENTRES rows
@@ -324,29 +435,33 @@ def _links(good: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     pivots = _chord(centre, points[chosen[: max(1, int(np.sqrt(len(chosen))))]])
     order = np.lexsort((pivots.min(axis=1), pivots.argmin(axis=1)))
     cells, centre = [cells[i] for i in order], centre[order]
-    parts = np.array([-(-c.n // BLOCK) for c in cells])
+    held = np.array([c.n for c in cells])
+    parts = -(-held // BLOCK)
     first = np.cumsum(parts) - parts
-    shelves = F.broadcast(spark.createDataFrame([(int(c.cell), int(m), int(f)) for c, m, f in zip(cells, parts, first, strict=True)], "cell int, parts int, first int"))
-    shelved = dealt.join(shelves, "cell").select((F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int").alias("block"), "row", "v", "copies")
+    # Groups by rows, since cells differ in size: enough pairs of groups for the cluster's tasks, or more where the trees of a
+    # group would not fit in memory. A group has at most one block's rows more.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, min(-(-n // int(np.ceil(np.sqrt(2 * tasks)))), GROUP_BYTES // (8 * points.shape[1])))
+    before, height = np.cumsum(held) - held, -(-held // parts)
+    shelves = F.broadcast(spark.createDataFrame([(int(c.cell), *map(int, x)) for c, *x in zip(cells, parts, first, before, height, strict=True)], "cell int, parts int, first int, before long, height long"))
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    shelved = dealt.join(shelves, "cell").select((F.col("first") + part).cast("int").alias("block"), F.floor((F.col("before") + part * F.col("height")) / size).cast("int").alias("own"), "row", "v", "copies")
 
     def build(table: pa.Table) -> pa.Table:
         raw = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         ids = table.column("row").to_numpy()
         by = np.argsort(ids)
         tree = CoverTree(unit(raw[by]), table.column("copies").to_numpy()[by])
-        return pa.table({"block": table.column("block").slice(0, 1), "tree": pa.array([_pack(tree, raw[by], ids[by])], pa.binary())})
+        return pa.table({"block": table.column("block").slice(0, 1), "own": table.column("own").slice(0, 1), "tree": pa.array([_pack(tree, raw[by], ids[by])], pa.binary())})
 
-    trees = checkpoint(shelved.groupBy("block").applyInArrow(build, "block int, tree binary"))
+    own = checkpoint(shelved.groupBy("block").applyInArrow(build, "block int, own int, tree binary"))
     most = float(np.sqrt(2 - 2 * threshold))
-    total, tasks = int(parts.sum()), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Enough pairs of groups for the cluster's tasks, or more where the trees of a group would not fit in memory.
-    size = min(max(1, -(-total // int(np.ceil(np.sqrt(2 * tasks))))), max(1, GROUP_BYTES // (8 * BLOCK * points.shape[1])))
-    groups = -(-total // size)
-    own = trees.withColumn("own", F.floor(F.col("block") / size).cast("int"))
+    lowest, highest = before // size, (before + (parts - 1) * height) // size  # a cell's first and last group
+    groups = int(highest[-1]) + 1
     if groups <= PRUNED_GROUPS:
         radius = np.array([c.r for c in cells])
         near = _chord(centre, centre) <= most + radius[:, None] + radius[None, :] + SLACK
-        span = [(int(np.searchsorted(first, g * size, "right")) - 1, int(np.searchsorted(first, min(total, (g + 1) * size), "left"))) for g in range(groups)]
+        span = [(int(np.searchsorted(highest, g, "left")), int(np.searchsorted(lowest, g, "right"))) for g in range(groups)]
         wanted_tiles = [(i, j) for i in range(groups) for j in range(i, groups) if near[span[i][0] : span[i][1], span[j][0] : span[j][1]].any()]
         tiles = spark.createDataFrame(wanted_tiles, "i int, j int")  # at most PRUNED_GROUPS squared
         met = own.join(F.broadcast(tiles.withColumn("own", F.explode(F.array_distinct(F.array("i", "j"))))), "own")

@@ -301,6 +301,41 @@ def test_tree_pairs():
             assert all(hit[i, j] or same and i == j for i, j in zip(left, right, strict=True)) or same
 
 
+def test_scattered_cells(monkeypatch):
+    """Cells of scattered vectors with near copies across their border: all links, out of a small part of the products."""
+    rng = np.random.default_rng(5)
+    centres = embedding_dedup.unit(rng.normal(size=(60, 64)))
+    x = embedding_dedup.unit(rng.normal(size=(40_000, 64)))
+    x = np.concatenate([x, embedding_dedup.unit(x[:8000] + rng.normal(scale=0.03, size=(8000, 64)))])
+    cell = (x @ centres.T).argmax(axis=1)
+    a, b = (embedding_dedup.CoverTree(x[cell == c]) for c in np.argsort(-(centres @ centres[0]))[:2])
+    near, products = embedding_dedup._near, []
+    monkeypatch.setattr(embedding_dedup, "_near", lambda p, q, *rest: (products.append(p.size * len(q)), near(p, q, *rest))[1])
+    na, nb, left, right = embedding_dedup.pairs_within(a, b, 0.95, False)
+    hit = a.rows @ b.rows.T >= 0.95
+    assert hit.any() and (na == hit.sum(axis=1)).all() and (nb == hit.sum(axis=0)).all() and hit[left, right].all()
+    assert sum(products) < 0.2 * 64 * hit.size
+
+
+def test_start_levels():
+    """Bounds on any kind of rows lose no link: few dimensions, a common direction, dense clusters, mixtures."""
+    rng = np.random.default_rng(6)
+    scattered, tight = rng.normal(size=(400, 64)), rng.normal(size=(1, 64)) + rng.normal(scale=0.2, size=(400, 64))
+    flat = np.concatenate([rng.normal(size=(400, 3)), np.zeros((400, 61))], axis=1)
+    clusters = np.repeat(rng.normal(size=(8, 64)), 50, axis=0) + rng.normal(scale=0.25, size=(400, 64))
+    lean = rng.normal(size=(400, 64)) + 2
+    kinds = [scattered, tight, flat, clusters, lean, np.concatenate([scattered[:150], tight[:150], clusters[:100]]), rng.normal(size=(400, 2)), rng.normal(size=(400, 20))]
+    for x in kinds:
+        x = embedding_dedup.unit(x)[rng.permutation(400)]
+        side = x @ x[0] > np.median(x @ x[0])
+        for one, other in ((x[:200], x[200:]), (x[side], x[~side])):
+            a, b = embedding_dedup.CoverTree(one), embedding_dedup.CoverTree(other)
+            for threshold in (0.8, 0.95, 0.999):
+                hit = a.rows @ b.rows.T >= threshold
+                na, nb, left, right = embedding_dedup.pairs_within(a, b, threshold, False)
+                assert (na == hit.sum(axis=1)).all() and (nb == hit.sum(axis=0)).all() and hit[left, right].all()
+
+
 def test_embedding_groups(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     x = vectors(1, 200)
