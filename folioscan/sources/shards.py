@@ -15,6 +15,8 @@ from folioscan import schema
 from folioscan.functions.text import strip
 
 LOG = logging.getLogger(__name__)
+#: The JSON parser gives up on strings of over 20 million characters, and with them on the whole shard.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -39,23 +41,26 @@ def _glob_exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def scan(spark: SparkSession, folder: str, domain: str, feed: int = 0, names: str = "papers-*.json") -> DataFrame:
+def scan(spark: SparkSession, folder: str, domain: str, feed: int = 0, names: str = "papers-*.json", written: tuple[str, ...] = ()) -> DataFrame:
     """Papers of one folder of shards with (feed, shard, pos), their order of appearance.
 
     A shard's keys are data, so a file is read whole and parsed as a map. A malformed shard gives no rows; a folder
-    without shards gives none either.
+    without shards gives none either. The fields of `written` come along as they stand in the records, too, as
+    `written_<field>`: null if absent, not stripped.
     """
     pattern = f"{folder.rstrip('/')}/{names}"
     if not _glob_exists(spark, pattern):
         LOG.warning("no shards in %s", folder)
-        return spark.createDataFrame([], f"{schema.PAPER}, feed int, shard string, pos int")
+        return spark.createDataFrame([], ", ".join([schema.PAPER, *(f"written_{n} {t}" for n, t in _fields() if n in written), "feed int, shard string, pos int"]))
     raw = spark.read.text(pattern, wholetext=True).select("value", F.col("_metadata.file_name").alias("shard"))
-    entries = raw.select("shard", F.posexplode(F.map_entries(F.from_json("value", f"map<string,struct<{_fields()}>>"))).alias("pos", "e"))
-    return entries.select(*to_paper("e.key", "e.value", domain), F.lit(feed).alias("feed"), "shard", "pos")
+    record = ",".join(f"{n}:{t}" for n, t in _fields())
+    entries = raw.select("shard", F.posexplode(F.map_entries(F.from_json("value", f"map<string,struct<{record}>>", ANY_LENGTH))).alias("pos", "e"))
+    same = [F.col(f"e.value.{n}").alias(f"written_{n}") for n, _ in _fields() if n in written]
+    return entries.select(*to_paper("e.key", "e.value", domain), *same, F.lit(feed).alias("feed"), "shard", "pos")
 
 
-def _fields() -> str:
-    return ",".join(f"{n}:{t}" for n, t in (x.strip().split(" ", 1) for x in schema.RECORD.split(", ")))
+def _fields() -> list[tuple[str, str]]:
+    return [tuple(x.strip().split(" ", 1)) for x in schema.RECORD.split(", ")]
 
 
 def to_paper(id_: str, record: str, domain: str) -> list:

@@ -217,3 +217,11 @@ def test_config(tmp_path, monkeypatch):
     assert config.load().server.default_k == 5 and config.load().sources[0].name == "a"
     monkeypatch.setenv(config.VARIABLE, str(tmp_path / "gone.toml"))
     assert config.load() == config.Config()
+
+
+def test_long_text_keeps_its_shard(spark, tmp_path):
+    write(tmp_path, "papers-2025-03.json", {"1": record(" one "), "2": record(None, abstract="x" * 21_000_000)})
+    rows = shards.scan(spark, str(tmp_path / "data"), "d", written=("title", "abstract")).selectExpr("arxiv_id", "title", "length(abstract)", "written_title")
+    assert {tuple(r) for r in rows.collect()} == {("1", "one", 1, " one "), ("2", "", 21_000_000, None)}
+    none = shards.scan(spark, str(tmp_path), "d", written=("title",))
+    assert none.count() == 0 and dict(none.dtypes)["written_title"] == "string"
